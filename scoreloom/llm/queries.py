@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import common, pair_index_bpe, residual_packing, simhash_bktree
+from scoreloom.llm import common, decision_list, pair_index_bpe, randomness_secrets, residual_packing, simhash_bktree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +23,16 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+@query("op2_decision_list")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decision_list.op2(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+@query("op5_randomness_secrets")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return randomness_secrets.op5(common.table(spark, sf_dir, "documents"))
+
+
 @query("op8_best_fit_packing")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residual_packing.op8(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
