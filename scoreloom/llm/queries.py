@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import common, decision_list, naive_bayes_lang, pair_index_bpe, randomness_secrets, residual_packing, simhash_bktree
+from scoreloom.llm import common, decision_list, naive_bayes_lang, pair_index_bpe, randomness_secrets, residual_packing, simhash_bktree, zstd_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naive_bayes_lang.op3(common.table(spark, sf_dir, "documents"))
 
 
+@query("op4_zstd_toxicity")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zstd_toxicity.op4(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 @query("op5_randomness_secrets")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return randomness_secrets.op5(common.table(spark, sf_dir, "documents"))
