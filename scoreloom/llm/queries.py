@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import common, decision_list, naive_bayes_lang, pair_index_bpe, randomness_secrets, residual_packing, simhash_bktree, zstd_toxicity
+from scoreloom.llm import common, decision_list, naive_bayes_lang, norm_buckets, pair_index_bpe, perspective_chat, randomness_secrets, residual_packing, simhash_bktree, zstd_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +43,16 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return randomness_secrets.op5(common.table(spark, sf_dir, "documents"))
 
 
+@query("op6_perspective_rotation", perspective_chat.ORACLE)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspective_chat.rotate(common.table(spark, sf_dir, "conversations"))
+
+
+@query("op7_norm_buckets", norm_buckets.ORACLE)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm_buckets.top_k(common.table(spark, sf_dir, "embeddings"))
+
+
 @query("op8_best_fit_packing")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residual_packing.op8(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
