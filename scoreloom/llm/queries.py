@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import common, decision_list, naive_bayes_lang, norm_buckets, pair_index_bpe, perspective_chat, randomness_secrets, residual_packing, simhash_bktree, zstd_toxicity
+from scoreloom.llm import brown_lm, common, decision_list, naive_bayes_lang, norm_buckets, pair_index_bpe, perspective_chat, randomness_secrets, residual_packing, simhash_bktree, zstd_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +23,11 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+@query("op1_brown_classes")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.op1(common.table(spark, sf_dir, "documents"))
+
+
 @query("op2_decision_list")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.op2(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
