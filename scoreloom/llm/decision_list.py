@@ -91,12 +91,12 @@ def _repeated(w: Column) -> Column:
     )
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """doc_id and what is counted in each whole text."""
+def counts(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id and what is counted in each whole text; with carry the whole row too, as `row`."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     return (
-        docs.select(F.col("doc_id").cast("long"), text.alias("text"))
+        docs.select(F.col("doc_id").cast("long"), text.alias("text"), *([F.struct(*docs.columns).alias("row")] if carry else []))
         .withColumn("words", words(F.col("text")))
         .withColumn("lines", lines)
         .select(
@@ -111,6 +111,7 @@ def counts(docs: DataFrame) -> DataFrame:
             count_of(F.col("text"), r"[^!?]+").alias("n_shout"),
             count_of(F.col("text"), r"[^0-9]+").alias("n_digits"),
             F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
+            *(["row"] if carry else []),
         )
     )
 
@@ -222,16 +223,21 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(0) if out is None else out.otherwise(0)
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame:
     """Counts, measures, base_failed, the rule that rejects (0: none) and kept, for every row of docs."""
-    values = store(measured(counts(docs)), "measures")
+    values = store(measured(counts(docs, carry)), "measures")
     marks = labels.select(F.col("doc_id").cast("long"), F.col("quality")).filter("doc_id is not null and quality in (0, 1)")
     marks = marks.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rules = learn(values.join(marks, "doc_id").withColumn("bad", 1 - F.col("quality")))
+    rules = learn(values.select("doc_id", *MEASURES).join(marks, "doc_id").withColumn("bad", 1 - F.col("quality")))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return values.withColumns({"base_failed": failed, "rule": verdict(rules)}).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that are kept, with their own columns."""
+    return judge(docs, labels, carry=True).filter("kept").select("row.*")
+
+
 def op2(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return judge(docs, labels).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"

@@ -127,11 +127,11 @@ def posterior(text: str, model: Model) -> tuple[str, float]:
     return model.langs[best], float(odds[best] / odds.sum())
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Adds lang_pred and score to docs, which has a text column; other columns are carried."""
+def predict(docs: DataFrame, model: Model | None, added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the predicted language and its probability to docs, which has a text column; other columns are carried."""
     names = docs.columns
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
+        return docs.withColumns({added[0]: F.lit(UNDETERMINED), added[1]: F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text = names.index("text")
 
@@ -142,11 +142,11 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 found = [posterior(t, held) for t in texts]
                 part = batch.slice(at, len(texts))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*names, "lang_pred", "score"]
+                    [*part.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*names, *added]
                 )
 
     kinds = ", ".join(f"`{n}` {k}" for n, k in docs.dtypes)
-    return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{kinds}, {added[0]} string, {added[1]} double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -158,6 +158,16 @@ def train_on(docs: DataFrame) -> Model | None:
     return learn(docs.filter(~held_out(F.col("doc_id"))).select("text", "lang"))
 
 
+#: A document stays if its language is as likely as this, at least.
+LEAST_SCORE = 0.5
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose language can be told, with their own columns."""
+    named = predict(docs, train_on(docs), ("__lang_pred", "__lang_score"))
+    return named.filter((F.col("__lang_pred") != UNDETERMINED) & (F.col("__lang_score") >= LEAST_SCORE)).select(*docs.columns)
+
+
 def op3(docs: DataFrame) -> DataFrame:
     model = train_on(docs)
     rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text")

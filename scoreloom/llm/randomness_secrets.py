@@ -113,8 +113,8 @@ def _battery(token: Column) -> Column:
     return let(kind, tests)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, base spans, candidates with the battery's results, and sums over ordinary words."""
+def scan(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, (with carry the whole row,) base spans, candidates with the battery's results, and sums over ordinary words."""
     text = F.coalesce(F.col("text"), F.lit(""))
     none = "array<struct<start:bigint,end:bigint,kind:string>>"
     bare = lambda a: F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
@@ -142,8 +142,10 @@ def scan(docs: DataFrame) -> DataFrame:
         ),
     )
     kind_of = "array<struct<start:bigint,end:bigint,t:struct<encoding:string,n:double,ic:double,log_p_random:double>>>"
-    return docs.select(F.col("doc_id").cast("long"), text.alias("text")).select(
+    whole = [F.struct(*docs.columns).alias("row")] if carry else []
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), *whole).select(
         "doc_id",
+        *(["row"] if carry else []),
         F.concat(when(ASSIGN_MAY, assign), when(ACCESS, access), when(HEX, hexes)).alias("base"),
         F.when(F.col("text").rlike(CANDIDATE), candidates).otherwise(F.array().cast(kind_of)).alias("candidates"),
         ordinary.alias("ordinary"),
@@ -184,9 +186,9 @@ def discovery_limits(counts: list[tuple[int, int, int]], rate: float = FALSE_DIS
     return limits
 
 
-def secrets(docs: DataFrame) -> DataFrame:
-    """doc_id, base and spans (arrays of start, end, kind) for every row of docs."""
-    scanned = store(scan(docs), "secrets")
+def secrets(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, base and spans (arrays of start, end, kind) for every row of docs; with carry the row too."""
+    scanned = store(scan(docs, carry), "secrets")
     s = scanned.agg(*[F.sum(f"ordinary.{k}").alias(k) for k in ("words", "chars", "hex_chars", "ic", "n_ic", "n_ic2")]).first()
     some = bool(s["words"]) and s["words"] >= 2
     mean = s["n_ic"] / s["chars"] if some else 1.0
@@ -207,7 +209,8 @@ def secrets(docs: DataFrame) -> DataFrame:
         open_ones,
         lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), _stratum(c["t"]["n"]).alias("stratum"), tenth(c["t"]).alias("tenth")),
     )
-    held = scanned.select("doc_id", "base", open_ones.alias("open"))
+    kept = ["row"] if carry else []
+    held = scanned.select("doc_id", *kept, "base", open_ones.alias("open"))
     tally = held.select(F.explode("open").alias("c")).groupBy("c.stratum", "c.tenth").agg(F.count(F.lit(1)).alias("n"))
     limits = discovery_limits([tuple(r) for r in tally.collect()])
 
@@ -218,7 +221,45 @@ def secrets(docs: DataFrame) -> DataFrame:
         return out
 
     found = F.transform(F.filter("open", passed), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit("random").alias("kind")))
-    return held.select("doc_id", _listed(F.col("base")).alias("base"), _listed(F.concat("base", found)).alias("spans"))
+    return held.select("doc_id", *kept, _listed(F.col("base")).alias("base"), _listed(F.concat("base", found)).alias("spans"))
+
+
+MASK = "[SECRET]"
+
+
+def _masked(text: Column, spans: Column) -> Column:
+    """text with every stretch of overlapping spans replaced by MASK; spans are sorted by start."""
+    kind = "array<struct<start:bigint,end:bigint>>"
+
+    def add(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        joined = F.concat(
+            F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end")))
+        )
+        new = F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] > x["start"]), joined).otherwise(new)
+
+    def fill(m: Column) -> Column:
+        before = F.transform(
+            m,
+            lambda x, k: F.concat(
+                F.substring(text, F.coalesce(F.get(m, k - 1)["end"], F.lit(0)).cast("int") + 1, (x["start"] - F.coalesce(F.get(m, k - 1)["end"], F.lit(0))).cast("int")),
+                F.lit(MASK),
+            ),
+        )
+        return F.concat(F.concat_ws("", before), F.substring(text, F.get(m, F.size(m) - 1)["end"].cast("int") + 1, F.length(text)))
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(F.aggregate(spans, F.array().cast(kind), add), fill))
+
+
+def mask(docs: DataFrame) -> DataFrame:
+    """docs with found secrets masked in text; an n_chars column follows the new text."""
+    found = secrets(docs, carry=True)
+    out = {n: F.col(f"row.{n}") for n in docs.columns}
+    out["text"] = _masked(F.col("row.text"), F.col("spans"))
+    if "n_chars" in out:
+        out["n_chars"] = F.when(F.size("spans") == 0, out["n_chars"]).otherwise(F.length(out["text"]).cast(docs.schema["n_chars"].dataType))
+    return found.select(*[c.alias(n) for n, c in out.items()])
 
 
 def op5(docs: DataFrame) -> DataFrame:

@@ -294,6 +294,16 @@ def components(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one_each(docs: DataFrame) -> DataFrame:
+    """One row of docs of each component, that of the least doc_id (null last), with its own columns."""
+    keyed = store(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
+    found = components(keyed.select(F.col("__key").alias("doc_id"), "text"))
+    ids = keyed.select("__key", F.col("doc_id").cast("long").alias("__id")).join(found.withColumnRenamed("doc_id", "__key"), "__key")
+    first = F.min(F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__key").alias("key")))
+    kept = ids.groupBy("component_id").agg(first.alias("first")).select(F.col("first.key").alias("__key"))
+    return keyed.join(kept, "__key", "left_semi").select(*docs.columns)
+
+
 def op10(docs: DataFrame) -> DataFrame:
     """The contract's rows: doc_id, fingerprint (16 hex digits), component_id."""
     return components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
