@@ -5,54 +5,62 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ordered stretches of values that running counts are taken in.
-STRETCHES = 64
+STRETCHES = 32
+#: Rows up to which one task may hold all distinct values.
+SMALL = 1_000_000
 
 
-def stretch(value: str, cuts: Sequence[float]):
+def stretch(value: str, cuts: Sequence[float]) -> Column:
     """Number of the stretch between cuts that holds a value; any disjoint, ordered cuts will do."""
-    return sum((F.when(F.col(value) > c, 1).otherwise(0) for c in cuts), F.lit(0))
+
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(value) > cuts[middle], tree(middle + 1, high)).otherwise(tree(low, middle))
+
+    return tree(0, len(cuts))
 
 
 def rough_cuts(df: DataFrame, value: str, parts: int = STRETCHES) -> list[float]:
-    found = df.agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 1000).alias("c")).first()["c"]
-    return sorted({c for c in found or [] if math.isfinite(c)})
+    return _count_and_cuts(df, value, parts)[1]
 
 
-def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> list[float]:
-    """Linearly interpolated quantiles, over the histogram of values in ordered stretches."""
-    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    histogram = rows.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    cuts = rough_cuts(rows, value)
-    placed = histogram.withColumn("part", stretch(value, cuts))
-    totals = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.sum("n").alias("n")).collect()}
-    total = sum(totals.values())
+def _count_and_cuts(df: DataFrame, value: str, parts: int = STRETCHES) -> tuple[int, list[float]]:
+    found = df.agg(F.count(value).alias("n"), F.percentile_approx(value, [k / parts for k in range(1, parts)], 1000).alias("c")).first()
+    return found["n"], sorted({c for c in found["c"] or [] if math.isfinite(c)})
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], small: int = SMALL) -> list[float]:
+    """Linearly interpolated quantiles; beyond small rows over the histogram of values in ordered stretches."""
+    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(value)
+    total, cuts = _count_and_cuts(rows, value)
     if not total:
         return []
+    if total <= small:
+        return list(rows.agg(F.percentile(value, F.array(*[F.lit(float(q)) for q in shares])).alias("q")).first()["q"])
+    placed = rows.groupBy(value).agg(F.count(F.lit(1)).alias("n")).withColumn("part", stretch(value, cuts))
+    totals = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.sum("n").alias("n")).collect()}
     before, at = {}, 0
     for part in sorted(totals):
         before[part] = at
         at += totals[part]
     ranks = [q * (total - 1) for q in shares]
     wanted = sorted({r for x in ranks for r in (math.floor(x), math.ceil(x))})
-    holds = {part: [r for r in wanted if before[part] <= r < before[part] + totals[part]] for part in totals}
     start = F.lit(0)
     for part, n in before.items():
         start = F.when(F.col("part") == part, n).otherwise(start)
-    running = F.sum("n").over(Window.partitionBy("part").orderBy(value)) + start
-    asked = placed.filter(F.col("part").isin([p for p, r in holds.items() if r])).withColumn("last", running)
-    hit = F.lit(False)
-    for r in wanted:
-        hit = hit | ((F.col("last") > r) & (F.col("last") - F.col("n") <= r))
+    needed = [part for part, n in totals.items() if any(before[part] <= r < before[part] + n for r in wanted)]
+    last = F.sum("n").over(Window.partitionBy("part").orderBy(value)) + start
+    asked = F.array(*[F.lit(r).cast("long") for r in wanted])
+    seen = placed.filter(F.col("part").isin(needed)).withColumn("last", last)
     # At most two values for each share.
-    values = {}
-    for row in asked.filter(hit).select(value, "n", "last").collect():
-        for r in wanted:
-            if row["last"] - row["n"] <= r < row["last"]:
-                values[r] = row[value]
+    hits = seen.select(value, F.filter(asked, lambda r: (r < F.col("last")) & (r >= F.col("last") - F.col("n"))).alias("ranks")).filter(F.size("ranks") > 0)
+    values = {r: row[value] for row in hits.collect() for r in row["ranks"]}
     out = []
     for x in ranks:
         low, high = values[math.floor(x)], values[math.ceil(x)]
