@@ -87,7 +87,8 @@ def bucket(score: Column | str, edges: Sequence[float]) -> Column:
 
 
 def bin_label(order: Column | str) -> Column:
-    return F.format_string("B%02d", as_col(order))
+    """B01, B02 and so on; null stays null."""
+    return F.when(as_col(order).isNotNull(), F.format_string("B%02d", as_col(order)))
 
 
 def band_order(bin_order: Column | str, ranges: Ranges) -> Column:
