@@ -79,11 +79,22 @@ def additive() -> list[Column]:
 ADDITIVE = ("n", "principal_amt", *(f"{h.name}_{m}" for h in HORIZONS for m in ("cnt_mature", "cnt_bad", "amt_exposure", "amt_bad")))
 
 
+def steps(value: Column, cuts: Sequence[float]) -> Column:
+    """How many of the ascending cuts lie below value, by halving."""
+
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value > F.lit(float(cuts[middle])), tree(middle + 1, high)).otherwise(tree(low, middle))
+
+    return tree(0, len(cuts))
+
+
 def bucket(score: Column | str, edges: Sequence[float]) -> Column:
     """1 + the number of inner edges below score: intervals (left, right]; null stays null."""
     s = as_col(score)
-    at = sum((F.when(s > F.lit(float(e)), 1).otherwise(0) for e in edges[1:-1]), F.lit(1))
-    return F.when(s.isNotNull(), at).cast("int")
+    return F.when(s.isNotNull(), steps(s, edges[1:-1]) + 1).cast("int")
 
 
 def bin_label(order: Column | str) -> Column:
@@ -93,11 +104,10 @@ def bin_label(order: Column | str) -> Column:
 
 def band_order(bin_order: Column | str, ranges: Ranges) -> Column:
     """Position from 1 of the range that holds a bin; null outside all."""
-    b = as_col(bin_order)
-    out = F.lit(None).cast("int")
-    for k, (first, last) in enumerate(ranges, 1):
-        out = F.when(b.between(first, last), k).otherwise(out)
-    return out
+    of = {b: k for k, (first, last) in enumerate(ranges, 1) for b in range(first, last + 1)}
+    # One lookup, so that the bin's own expression is not repeated for every range.
+    places = F.array(*[F.lit(of.get(b)).cast("int") for b in range(max(of) + 1)])
+    return F.get(places, as_col(bin_order))
 
 
 def band_letter(order: Column | str) -> Column:

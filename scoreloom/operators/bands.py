@@ -36,25 +36,24 @@ def derived(stats: DataFrame, order: str, by: Sequence[str] = ()) -> DataFrame:
     """Adds good counts, shares, rates, intervals and running totals in order within by."""
     whole = Window.partitionBy(*by)
     up_to = whole.orderBy(F.asc_nulls_last(order)).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("n").over(whole)
+    summed = ["n", *(f"{m}_{c}" for m in NAMES for c in ("cnt_mature", "cnt_bad", "amt_exposure", "amt_bad"))]
+    running = {"total_n": F.sum("n").over(whole), **{f"cum_{c}": F.sum(c).over(up_to) for c in summed}}
+    shares = {"sample_pct": ratio("n", "total_n"), "cum_pass_rate": ratio("cum_n", "total_n")}
+    for m in NAMES:
+        shares[f"{m}_cnt_good"] = F.col(f"{m}_cnt_mature") - F.col(f"{m}_cnt_bad")
     if "score_sum" in stats.columns:
-        stats = stats.withColumn("score_mean", ratio("score_sum", "score_n")).drop("score_sum", "score_n")
-    out = stats.withColumns({"total_n": total, "sample_pct": ratio(F.col("n"), total), "cum_n": F.sum("n").over(up_to)})
-    out = out.withColumn("cum_pass_rate", ratio("cum_n", "total_n"))
+        shares["score_mean"] = ratio("score_sum", "score_n")
+    return stats.withColumns(running).withColumns({**shares, **rates(""), **rates("cum_")}).drop("score_sum", "score_n")
+
+
+def rates(prefix: str) -> dict[str, Column]:
+    """Bad rates and intervals from counts and amounts whose names begin with prefix."""
+    out = {}
     for m in NAMES:
-        for c in ("cnt_mature", "cnt_bad", "amt_exposure", "amt_bad"):
-            out = out.withColumn(f"cum_{m}_{c}", F.sum(f"{m}_{c}").over(up_to))
-        out = out.withColumn(f"{m}_cnt_good", F.col(f"{m}_cnt_mature") - F.col(f"{m}_cnt_bad"))
-        for p in ("", "cum_"):
-            low, high = wilson(f"{p}{m}_cnt_bad", f"{p}{m}_cnt_mature")
-            out = out.withColumns(
-                {
-                    f"{p}{m}_cnt_bad_rate": ratio(f"{p}{m}_cnt_bad", f"{p}{m}_cnt_mature"),
-                    f"{p}{m}_cnt_bad_rate_ci_low": low,
-                    f"{p}{m}_cnt_bad_rate_ci_high": high,
-                    f"{p}{m}_amt_bad_rate": ratio(f"{p}{m}_amt_bad", f"{p}{m}_amt_exposure"),
-                }
-            )
+        p = f"{prefix}{m}"
+        low, high = wilson(f"{p}_cnt_bad", f"{p}_cnt_mature")
+        out |= {f"{p}_cnt_bad_rate": ratio(f"{p}_cnt_bad", f"{p}_cnt_mature"), f"{p}_cnt_bad_rate_ci_low": low, f"{p}_cnt_bad_rate_ci_high": high}
+        out[f"{p}_amt_bad_rate"] = ratio(f"{p}_amt_bad", f"{p}_amt_exposure")
     return out
 
 
@@ -75,14 +74,19 @@ def dense_bin_stats(binned: DataFrame, edges: Sequence[float]) -> DataFrame:
     return derived(dense_bin_sums(binned, edges), "bin_order")
 
 
-def regroup(bin_sums: DataFrame, ranges: Ranges) -> DataFrame:
-    """Band statistics from bin sums; nothing is read from raw rows again."""
+def regroup_sums(bin_sums: DataFrame, ranges: Ranges) -> DataFrame:
+    """Band sums from bin sums; nothing is read from raw rows again."""
     ends = {"first_bin": F.min("bin_order"), "last_bin": F.max("bin_order"), "score_left": F.min_by("score_left", "bin_order"), "score_right": F.max_by("score_right", "bin_order")}
     added = {c: F.sum(c) for c in (*ADDITIVE, "score_sum", "score_n")}
     extent = {"score_min": F.min("score_min"), "score_max": F.max("score_max")}
     out = with_bands(bin_sums, ranges).filter("band_order is not null").groupBy("band_order", "band")
     out = out.agg(*[c.alias(n) for n, c in {**ends, **added, **extent}.items()])
-    return derived(out.withColumn("merged_from", source_text(F.col("first_bin"), F.col("last_bin"))), "band_order")
+    return out.withColumn("merged_from", source_text(F.col("first_bin"), F.col("last_bin")))
+
+
+def regroup(bin_sums: DataFrame, ranges: Ranges) -> DataFrame:
+    """Band statistics from bin sums."""
+    return derived(regroup_sums(bin_sums, ranges), "band_order")
 
 
 def band_stats(banded: DataFrame) -> DataFrame:
@@ -115,21 +119,20 @@ def diagnostics(stats: DataFrame, order: str, smoothing: float = 0.5) -> DataFra
     """Adds smoothed class shares, weight of evidence, IV parts, IV, and the KS curve from the risky end."""
     whole = Window.partitionBy()
     down = whole.orderBy(order).rowsBetween(0, Window.unboundedFollowing)
-    out = stats
+    shares, woe, parts, totals = {}, {}, {}, {}
     for m in NAMES:
-        share = {}
-        for side in ("bad", "good"):
-            c = F.col(f"{m}_cnt_{side}")
-            share[side] = ratio(c + smoothing, F.sum(c).over(whole) + smoothing * F.count(F.lit(1)).over(whole))
-            out = out.withColumn(f"{m}_{side}_distribution", share[side])
+        sums_ = {side: F.sum(f"{m}_cnt_{side}").over(whole) for side in ("bad", "good")}
+        for side, total in sums_.items():
+            shares[f"{m}_{side}_distribution"] = ratio(F.col(f"{m}_cnt_{side}") + smoothing, total + smoothing * F.count(F.lit(1)).over(whole))
+        tops = [ratio(F.sum(f"{m}_cnt_{side}").over(down), total) for side, total in sums_.items()]
+        shares[f"{m}_ks_curve"] = F.abs(tops[0] - tops[1])
+        shares[f"__{m}_some"] = (sums_["bad"] > 0) & (sums_["good"] > 0)
         bad, good = F.col(f"{m}_bad_distribution"), F.col(f"{m}_good_distribution")
-        out = out.withColumn(f"{m}_woe", F.ln(ratio(bad, good)))
-        out = out.withColumn(f"{m}_iv_component", (bad - good) * F.col(f"{m}_woe"))
-        tops = [ratio(F.sum(f"{m}_cnt_{side}").over(down), F.sum(f"{m}_cnt_{side}").over(whole)) for side in ("bad", "good")]
-        out = out.withColumn(f"{m}_ks_curve", F.abs(tops[0] - tops[1]))
-        some = (F.sum(f"{m}_cnt_bad").over(whole) > 0) & (F.sum(f"{m}_cnt_good").over(whole) > 0)
-        out = out.withColumn(f"{m}_iv", F.when(some, F.sum(f"{m}_iv_component").over(whole)))
-    return out
+        woe[f"{m}_woe"] = F.ln(ratio(bad, good))
+        parts[f"{m}_iv_component"] = (bad - good) * F.col(f"{m}_woe")
+        totals[f"{m}_iv"] = F.when(F.col(f"__{m}_some"), F.sum(f"{m}_iv_component").over(whole))
+    out = stats.withColumns(shares).withColumns(woe).withColumns(parts).withColumns(totals)
+    return out.drop(*[f"__{m}_some" for m in NAMES])
 
 
 def process_table(bin_stats_: DataFrame, ranges: Ranges, search: Search = Search()) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreloom.functions.columns import additive, ratio, wilson
-from scoreloom.operators.bands import NAMES
+from scoreloom.functions.columns import additive, ratio
+from scoreloom.operators.bands import NAMES, rates
 from scoreloom.settings import Limits, Policy
 
 
@@ -28,7 +28,7 @@ def _with_rates(df: DataFrame, prefix: str) -> DataFrame:
 def curve(bands: DataFrame) -> DataFrame:
     """What passes at each band's right edge: all up to it, and the band alone.
 
-    bands has a row for each band of the training sample, as made by regroup(); the last threshold is
+    bands has a row for each band of the training sample, as made by regroup_sums(); the last threshold is
     the highest training score. A threshold is a band's edge, so running sums over bands are exact.
     """
     order = Window.orderBy("band_order")
@@ -47,13 +47,10 @@ def curve(bands: DataFrame) -> DataFrame:
         F.sum("n").over(whole).alias("total_n"),
         F.sum("principal_amt").over(whole).alias("total_principal"),
     )
-    for p in ("cum_", "marginal_"):
-        out = _with_rates(out, p)
-        for m in NAMES:
-            low, high = wilson(f"{p}{m}_cnt_bad", f"{p}{m}_cnt_mature")
-            out = out.withColumns({f"{p}{m}_cnt_bad_rate_ci_low": low, f"{p}{m}_cnt_bad_rate_ci_high": high})
     return out.withColumns(
         {
+            **rates("cum_"),
+            **rates("marginal_"),
             "cum_pass_rate": ratio("cum_n", "total_n"),
             "cum_principal_pct": ratio("cum_principal_amt", "total_principal"),
             "marginal_sample_pct": ratio("marginal_n", "total_n"),
@@ -183,9 +180,9 @@ def sensitivity(curve_: DataFrame, plan_: DataFrame) -> DataFrame:
         "note",
     )
     w = Window.partitionBy("threshold_type")
-    rates = ("auto_pass", "manual_review", "total_accept", "reject")
+    kinds = ("auto_pass", "manual_review", "total_accept", "reject")
     now = lambda c: F.max(F.when(F.col("scenario") == "current", F.col(c))).over(w)
-    return out.withColumns({f"estimated_{r}_rate_delta": F.col(f"estimated_{r}_rate") - now(f"estimated_{r}_rate") for r in rates})
+    return out.withColumns({f"estimated_{r}_rate_delta": F.col(f"estimated_{r}_rate") - now(f"estimated_{r}_rate") for r in kinds})
 
 
 SEGMENTS = ("auto_pass", "manual_review", "reject")

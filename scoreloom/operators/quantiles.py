@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreloom.functions.columns import steps
+
 #: Ordered stretches of values that running counts are taken in.
 STRETCHES = 32
 #: Rows up to which one task may hold all distinct values.
@@ -16,14 +18,7 @@ SMALL = 1_000_000
 
 def stretch(value: str, cuts: Sequence[float]) -> Column:
     """Number of the stretch between cuts that holds a value; any disjoint, ordered cuts will do."""
-
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(F.col(value) > cuts[middle], tree(middle + 1, high)).otherwise(tree(low, middle))
-
-    return tree(0, len(cuts))
+    return steps(F.col(value), cuts)
 
 
 def rough_cuts(df: DataFrame, value: str, parts: int = STRETCHES) -> list[float]:

@@ -21,6 +21,18 @@ from scoreloom.settings import Settings
 log = logging.getLogger(__name__)
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """A table of at most so many rows, computed once and held as a local one; fails beyond."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
+#: Bins that a search is meant for, at most.
+MOST_BINS = 1000
+
+
 @dataclass
 class Run:
     """One run over an application table; each part is made when first asked for."""
@@ -64,12 +76,12 @@ class Run:
 
     @cached_property
     def train_sums(self) -> DataFrame:
-        return bands.dense_bin_sums(self.binned.filter("sample_group = 'train'"), self.edges)
+        """One row for each bin."""
+        return small(bands.dense_bin_sums(self.binned.filter("sample_group = 'train'"), self.edges), MOST_BINS)
 
     @cached_property
     def found(self) -> search.Found:
         quantiles.require_bins(self.edges, self.settings.search.least_bands)
-        # One row for each bin.
         rows = [r.asDict() for r in self.train_sums.orderBy("bin_order").collect()]
         return self.timed("search", lambda: search.search(rows, self.settings.policy, self.settings.search))
 
@@ -101,11 +113,11 @@ class Run:
 
     @cached_property
     def curve(self) -> DataFrame:
-        return policy.curve(self.train_bands)
+        return small(policy.curve(bands.regroup_sums(self.train_sums, self.ranges)), MOST_BINS)
 
     @cached_property
     def plan(self) -> DataFrame:
-        return policy.plan(self.curve, self.settings.policy)
+        return small(policy.plan(self.curve, self.settings.policy), 1)
 
     @cached_property
     def psi(self) -> DataFrame:
