@@ -19,6 +19,7 @@ empty results; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ BUCKET_ROWS = 2048
 QUERY_ROWS = 2048
 #: Vectors that a partition of the bucketing sort is meant to hold.
 SORT_ROWS = 8192
+#: Query blocks whose results are searched for in one plan before they are written.
+PLAN_BLOCKS = 8
 #: Local cosine thresholds from which coordinates prune.
 HIGH_COSINE = 0.8
 FOCUS = 3
@@ -172,7 +175,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 100) -> DataFrame:
     asked = asked.repartitionByRange(max(1, parts // every), "norm", "vec_id").sortWithinPartitions("norm", "vec_id")
     queries = store(_blocks(asked, QUERY_ROWS), "queries")
     first = buckets.orderBy(F.desc("longest")).limit(1).collect()
-    out = None
+    results: list[DataFrame] = []
+    pending: list[DataFrame] = []
     # A block of at most QUERY_ROWS queries is on the driver and broadcast at a time.
     for row in queries.toLocalIterator():
         seed = TopK(*unpack(row["ids"], row["matrix"], row["dim"]), k)
@@ -190,12 +194,26 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 100) -> DataFrame:
             part = np.arange(len(ids))[best.q]
             yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(part), pa.array(best.id), pa.array(best.score)], ["query_id", "part", "vec_id", "score"])
 
-        found = buckets.mapInArrow(run, "query_id long, part long, vec_id long, score long")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, part long, vec_id long, score long")
-    order = Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+        # Buckets too short for every query of the block are not read.
+        with np.errstate(divide="ignore", invalid="ignore"):
+            need = np.where(seed.limit > 0, seed.limit / seed.norms, -1.0)
+        wanted = buckets.filter(F.col("longest") >= float(need.min()) * (1 - 1e-9)) if need.min() > 0 else buckets
+        pending.append(wanted.mapInArrow(run, "query_id long, part long, vec_id long, score long"))
+        if len(pending) == PLAN_BLOCKS:
+            results.append(store(_best(pending, k), "found"))
+            pending = []
+    if pending or not results:
+        results.append(_best(pending or [spark.createDataFrame([], "query_id long, part long, vec_id long, score long")], k))
+    # Blocks hold different queries, so their results need no further ranking.
+    return reduce(DataFrame.unionByName, results)
+
+
+def _best(found: list[DataFrame], k: int) -> DataFrame:
+    """The tasks' lists of some query blocks, merged by rank."""
+    tagged = [df.withColumn("block", F.lit(n)) for n, df in enumerate(found)]
+    order = Window.partitionBy("block", "query_id", "part").orderBy(F.desc("score"), "vec_id")
+    ranked = reduce(DataFrame.unionByName, tagged).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 #: The same by brute force over finite vectors.

@@ -36,6 +36,7 @@ def test_matches_brute_force(spark, monkeypatch, seed, spread, bucket):
     monkeypatch.setattr(nb, "BUCKET_ROWS", bucket)
     monkeypatch.setattr(nb, "SORT_ROWS", 300)
     monkeypatch.setattr(nb, "QUERY_ROWS", 4)
+    monkeypatch.setattr(nb, "PLAN_BLOCKS", 2)
     rng = random.Random(seed)
     data = rows(rng, 900, spread)
     hot = data[5][1]
