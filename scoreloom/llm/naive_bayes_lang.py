@@ -28,8 +28,8 @@ from scoreloom.llm.pair_index_bpe import slices
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
-#: Languages beyond which learning refuses; with BUCKETS it bounds the broadcast matrix to 128 MB.
-MAX_LANGS = 1024
+#: Languages beyond which learning refuses; with BUCKETS it bounds the broadcast matrix to 32 MB.
+MAX_LANGS = 256
 FOLDS = 5
 HELD_OUT = 0
 UNDETERMINED = "und"
