@@ -1,4 +1,4 @@
-"""Live monitoring, beyond the reference's own reports: band counts of scored events by time window, and their stability."""
+"""Live monitoring, an extension: band counts of scored events by time window, and their stability."""
 
 from __future__ import annotations
 
@@ -11,19 +11,30 @@ from scoreloom.functions.columns import Ranges, band_letter, band_order, bucket,
 
 
 def windowed(events: DataFrame, edges: Sequence[float], ranges: Ranges, time: str = "ts", score: str = "score_mlt", width: str = "1 day", late: str = "2 days") -> DataFrame:
-    """(window, band_order, band, n): a stream or table of scored events, counted within a watermark."""
+    """(window, counts): a stream or table of scored events, counted by band within a watermark.
+
+    A window's bands stay in one row, so that a stream's update always holds the whole window.
+    """
     rows = events.withWatermark(time, late) if events.isStreaming else events
     rows = rows.withColumn("band_order", band_order(bucket(score, edges), ranges))
-    return rows.groupBy(F.window(time, width).alias("window"), "band_order").agg(F.count(F.lit(1)).alias("n")).withColumn("band", band_letter("band_order"))
+    counts = F.array(*[F.count_if(F.col("band_order") == k) for k in range(1, len(ranges) + 1)])
+    return rows.groupBy(F.window(time, width).alias("window")).agg(counts.alias("counts"))
+
+
+def by_band(counts: DataFrame) -> DataFrame:
+    """(window, band_order, band, n) from windowed()."""
+    return counts.select("window", F.posexplode("counts").alias("k", "n")).select("window", (F.col("k") + 1).alias("band_order"), band_letter(F.col("k") + 1).alias("band"), "n")
 
 
 def drift(counts: DataFrame, frozen: Sequence[float], floor: float = 1e-6) -> DataFrame:
     """Stability of each window against frozen training shares, band A first."""
-    per = counts.filter("band_order is not null").groupBy("window").pivot("band_order", list(range(1, len(frozen) + 1))).agg(F.sum("n"))
-    known = [F.coalesce(F.col(str(k)), F.lit(0)) for k in range(1, len(frozen) + 1)]
+    known = [F.get("counts", k) for k in range(len(frozen))]
     total = sum(known[1:], known[0])
-    part = lambda n, s: (F.greatest(ratio(n, total), F.lit(floor)) - max(s, floor)) * F.ln(F.greatest(ratio(n, total), F.lit(floor)) / max(s, floor))
-    return per.select("window", total.alias("n"), sum((part(n, float(s)) for n, s in zip(known, frozen)), F.lit(0.0)).alias("psi"))
+    parts = []
+    for n, share in zip(known, frozen):
+        now, base = F.greatest(ratio(n, total), F.lit(floor)), max(float(share), floor)
+        parts.append((now - base) * F.ln(now / base))
+    return counts.filter(total > 0).select("window", total.alias("n"), sum(parts, F.lit(0.0)).alias("psi"))
 
 
 def watch(events: DataFrame, edges: Sequence[float], ranges: Ranges, frozen: Sequence[float], sink: Callable[[DataFrame, int], None], checkpoint: str, **options):

@@ -303,16 +303,23 @@ def test_many_models_are_searched_side_by_side(run):
 def test_stream_of_scores_is_watched(spark, tmp_path):
     edges, ranges, frozen = (-math.inf, 0.3, 0.6, math.inf), ((1, 1), (2, 2), (3, 3)), (0.5, 0.3, 0.2)
     rows = [(f"2024-01-0{d} 10:00:00", s) for d in (1, 2) for s in ([0.1] * 5 + [0.5] * 3 + [0.9] * 2 if d == 1 else [0.9] * 10)]
-    events = spark.createDataFrame(rows, "ts string, score_mlt double").withColumn("ts", F.to_timestamp("ts"))
-    events.coalesce(1).write.parquet(f"{tmp_path}/in")
-    table = {str(r["window"]["start"])[:10]: r["psi"] for r in monitor.drift(monitor.windowed(events, edges, ranges), frozen).collect()}
-    assert table["2024-01-01"] == pytest.approx(0) and table["2024-01-02"] > 1
+    later = [("2024-01-01 11:00:00", 0.9)] * 4
+    make = lambda r: spark.createDataFrame(r, "ts string, score_mlt double").withColumn("ts", F.to_timestamp("ts")).coalesce(1)
+    psi_of = lambda df: {str(r["window"]["start"])[:10]: round(r["psi"], 9) for r in df}
+    first, whole = (psi_of(monitor.drift(monitor.windowed(make(r), edges, ranges), frozen).collect()) for r in (rows, rows + later))
+    assert first["2024-01-01"] == 0 and first["2024-01-02"] > 1 and whole["2024-01-01"] > 0
+    long = monitor.by_band(monitor.windowed(make(rows), edges, ranges)).filter("n > 0").collect()
+    assert sorted((r["band"], r["n"]) for r in long) == [("A", 5), ("B", 3), ("C", 2), ("C", 10)]
+    make(rows).write.parquet(f"{tmp_path}/in")
     seen = []
-    stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
-    q = monitor.watch(stream, edges, ranges, frozen, lambda df, k: seen.extend(df.collect()), f"{tmp_path}/check")
+    q = monitor.watch(spark.readStream.schema(make(rows).schema).parquet(f"{tmp_path}/in"), edges, ranges, frozen, lambda df, k: seen.append(psi_of(df.collect())), f"{tmp_path}/check")
+    q.processAllAvailable()
+    # An update of one band must still see the window's other bands.
+    make(later).write.mode("append").parquet(f"{tmp_path}/in")
     q.processAllAvailable()
     q.stop()
-    assert {str(r["window"]["start"])[:10]: round(r["psi"], 9) for r in seen} == {k: round(v, 9) for k, v in table.items()}
+    got = [x for x in seen if x]
+    assert got[0] == first and got[1] == {"2024-01-01": whole["2024-01-01"]}
 
 
 def test_fixed_ranges_cover_all_bins():
