@@ -33,24 +33,30 @@ SHARD_ROWS = 1024
 DEALS = 3
 
 
-def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
-    """The 64-bit fingerprint of the lower-cased (A-Z) word shingles of a whole text, repeats included."""
+def shingle_hashes(text: str | None, words: int, seed: int = SEED) -> np.ndarray:
+    """The hash of each lower-cased (A-Z) word shingle of a whole text, repeats included."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     if len(parts) <= words:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
-    else:
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
-        ends = np.cumsum(lengths) - 1
-        starts = (ends + 1 - lengths)[: len(parts) - words + 1]
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter(
-            (digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist())),
-            np.uint64,
-            len(starts),
-        )
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+    ends = np.cumsum(lengths) - 1
+    starts = (ends + 1 - lengths)[: len(parts) - words + 1]
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter(
+        (digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist())),
+        np.uint64,
+        len(starts),
+    )
+
+
+def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
+    """The 64-bit fingerprint of the lower-cased (A-Z) word shingles of a whole text, repeats included."""
+    hashes = shingle_hashes(text, words, seed)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -294,16 +300,6 @@ def components(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_each(docs: DataFrame) -> DataFrame:
-    """One row of docs of each component, that of the least doc_id (null last), with its own columns."""
-    keyed = store(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
-    found = components(keyed.select(F.col("__key").alias("doc_id"), "text"))
-    ids = keyed.select("__key", F.col("doc_id").cast("long").alias("__id")).join(found.withColumnRenamed("doc_id", "__key"), "__key")
-    first = F.min(F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__key").alias("key")))
-    kept = ids.groupBy("component_id").agg(first.alias("first")).select(F.col("first.key").alias("__key"))
-    return keyed.join(kept, "__key", "left_semi").select(*docs.columns)
-
-
 def op10(docs: DataFrame) -> DataFrame:
     """The contract's rows: doc_id, fingerprint (16 hex digits), component_id."""
     return components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
