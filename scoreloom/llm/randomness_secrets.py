@@ -122,8 +122,24 @@ def scan(docs: DataFrame, carry: bool = False) -> DataFrame:
     access, hexes = (bare(matches(F.col("text"), p, k)) for p, k in ((ACCESS, "access"), (HEX, "hex")))
     when = lambda may, spans: F.when(F.col("text").rlike(may), spans).otherwise(F.array().cast(none))
     both = lambda x: x["text"].rlike("[0-9]") & x["text"].rlike("[A-Za-z]")
+
+    def parts(x: Column) -> Column:
+        """What no base span covers of a run, in pieces that are candidates themselves."""
+        over = F.filter("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+        blank = lambda t, b: let(
+            F.struct((F.greatest(b["start"], x["start"]) - x["start"]).cast("int").alias("at"), (F.least(b["end"], x["end"]) - x["start"]).cast("int").alias("to")),
+            lambda k: F.concat(F.substring(t, F.lit(1), k["at"]), F.repeat(F.lit(" "), k["to"] - k["at"]), F.substring(t, k["to"] + 1, F.length(t))),
+        )
+        moved = lambda t: F.transform(
+            matches(t, CANDIDATE, "random"),
+            lambda y: F.struct((x["start"] + y["start"]).alias("start"), (x["start"] + y["end"]).alias("end"), y["text"].alias("text")),
+        )
+        whole = F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text")))
+        return F.when(F.size(over) == 0, whole).otherwise(let(F.aggregate(over, x["text"], blank), moved))
+
+    runs = F.flatten(F.transform(matches(F.col("text"), CANDIDATE, "random"), parts))
     candidates = F.transform(
-        F.filter(matches(F.col("text"), CANDIDATE, "random"), lambda x: both(x) & (F.length(F.rtrim(x["text"], F.lit("="))) >= 20)),
+        F.filter(runs, lambda x: both(x) & (F.length(F.rtrim(x["text"], F.lit("="))) >= 20)),
         lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _battery(x["text"]).alias("t")),
     )
     ordinary = F.aggregate(
@@ -143,10 +159,11 @@ def scan(docs: DataFrame, carry: bool = False) -> DataFrame:
     )
     kind_of = "array<struct<start:bigint,end:bigint,t:struct<encoding:string,n:double,ic:double,log_p_random:double>>>"
     whole = [F.struct(*docs.columns).alias("row")] if carry else []
-    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), *whole).select(
+    based = F.concat(when(ASSIGN_MAY, assign), when(ACCESS, access), when(HEX, hexes)).alias("base")
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), *whole).select("*", based).select(
         "doc_id",
         *(["row"] if carry else []),
-        F.concat(when(ASSIGN_MAY, assign), when(ACCESS, access), when(HEX, hexes)).alias("base"),
+        "base",
         F.when(F.col("text").rlike(CANDIDATE), candidates).otherwise(F.array().cast(kind_of)).alias("candidates"),
         ordinary.alias("ordinary"),
     )
@@ -199,12 +216,8 @@ def secrets(docs: DataFrame, carry: bool = False) -> DataFrame:
         ordinary = F.when(t["encoding"] == "hex", t["n"] * math.log10(in_hex)).otherwise(_tail((F.lit(mean) - t["ic"]) * F.sqrt(t["n"]) / spread))
         return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(60.0), -ordinary)) * 10).cast("int")
 
-    # Candidates inside a base span are found already.
-    open_ones = F.filter(
-        "candidates",
-        lambda c: (c["t"]["log_p_random"] >= math.log10(REJECT_RANDOM))
-        & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])),
-    )
+    # Candidates hold nothing that a base span covers.
+    open_ones = F.filter("candidates", lambda c: c["t"]["log_p_random"] >= math.log10(REJECT_RANDOM))
     open_ones = F.transform(
         open_ones,
         lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), _stratum(c["t"]["n"]).alias("stratum"), tenth(c["t"]).alias("tenth")),
