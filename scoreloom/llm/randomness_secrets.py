@@ -1,17 +1,25 @@
 """Secret scans: fixed patterns, and strings that a battery of randomness tests cannot tell from noise.
 
-A candidate is a run of 20 or more characters of common encodings with a letter and a digit. Its
-encoding is the least alphabet that holds it (hexadecimal, base 36, 62, 64). The battery asks if it
-is random over that alphabet: chi-squared uniformity, runs around the alphabet's middle, and serial
-correlation. A candidate that none of them rejects is then tested against ordinary text: its index
-of coincidence is compared with that of the corpus's words, with the spread that its own length
-implies; a hexadecimal one by how likely ordinary characters all fall into that alphabet. These
-p-values pass a Benjamini-Hochberg step within each stratum of lengths, from counts by stratum and
-p-value step.
+A candidate is a run of 20 or more characters of common encodings, with a letter and a digit or with
+letters in both cases. Its encoding is the least alphabet that holds it (hexadecimal, base 36, 62,
+64). The battery asks two things about each of its three tests, alphabet uniformity, runs and serial
+dependence.
+
+* Against noise over that alphabet: pairs of equal characters (chi-squared in other units), changes
+  around the alphabet's middle, and serial correlation. The first two p-values are Chernoff bounds,
+  which hold at 20 characters too. A candidate that one of them rejects is no secret.
+* Against ordinary text: how much likelier the candidate is as noise than as ordinary text, whose
+  alphabet (characters of a class), runs (changes between lower case, upper case, digits and marks)
+  and serial dependence (which letter follows which) are counted in the distinct words of up to 19
+  characters of every document. Ordinary text reaches a likelihood ratio of r with a probability of
+  1 / r at most, so its inverse is a p-value, of use from 20 characters on.
+
+These p-values pass a Benjamini-Hochberg step within each stratum of lengths, from counts by stratum
+and whole bits.
 
 Defined cases: a null text counts as empty; repeated rows and null doc_ids are scanned row by row;
-without any ordinary word to compare with, only hexadecimal candidates can pass; an empty table
-gives an empty result; extra columns are ignored.
+with fewer than LEAST_PAIRS pairs of characters in ordinary words there is nothing to compare with
+and only the fixed patterns are found; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,15 +40,23 @@ HEX = r"[0-9a-f]{24,}"
 #: Kinds in the order in which spans of equal start are listed.
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Ordinary text to compare with: runs of letters of at least so many.
-WORD = r"[A-Za-z]{12,}"
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Ordinary text to compare with: words of candidates' characters that are shorter than a candidate.
+WORD = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{2,19}(?![A-Za-z0-9+/_-])"
+#: Pairs of characters in ordinary words below which nothing is compared.
+LEAST_PAIRS = 2000
+#: Share of ordinary characters whose class is any, as in identifiers, whatever the class before.
+ANY_CLASS = 0.1
 #: A candidate is no longer held random when a test of the battery has a smaller p-value than this.
 REJECT_RANDOM = 1e-4
 #: The false-discovery rate within a stratum of lengths.
 FALSE_DISCOVERIES = 0.01
 #: Strata end before these lengths.
 STRATA = (24, 32, 48, 96)
+#: Bits of evidence beyond which no more are counted.
+MOST_BITS = 4096
+#: Characters of candidates by class: digits, upper case, lower case, marks.
+CLASSES = ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "+/_-")
 ALPHABETS = {
     "hex": (16, "0123456789abcdef"),
     "base36": (36, "0123456789abcdefghijklmnopqrstuvwxyz"),
@@ -49,6 +65,49 @@ ALPHABETS = {
 }
 
 
+def ordinary_pairs(docs: DataFrame) -> dict[str, int]:
+    """How often each two characters stand together in the distinct ordinary words of all documents, a blank around each word."""
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    chars = F.filter(F.split(F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")), ""), lambda c: c != "")
+    # zip_with pads the shorter array with a null, which concat takes on.
+    pairs = F.filter(F.zip_with("chars", F.slice("chars", 2, F.size("chars")), lambda a, b: F.concat(a, b)), lambda x: x.isNotNull())
+    rows = docs.select(words.alias("words")).filter(F.size("words") > 0).select(chars.alias("chars")).select(F.explode(pairs).alias("pair"))
+    # At most one row for each two of 67 characters.
+    return {r["pair"]: r["n"] for r in rows.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def ordinary_bits(pairs: dict[str, int]) -> list[float] | None:
+    """Bits of each character of CLASSES after a blank (first row) or another one, as ordinary text has them, row by row.
+
+    A character's class depends on the class before; a letter, in either case, on the letter before; digits and marks on nothing.
+    """
+    if sum(pairs.values()) < LEAST_PAIRS:
+        return None
+    every = "".join(CLASSES)
+    kind = {c: k for k, some in enumerate(CLASSES) for c in some} | {" ": len(CLASSES)}
+    classes = [[1.0] * len(CLASSES) for _ in range(len(CLASSES) + 1)]
+    letters = {a: dict.fromkeys(CLASSES[2], 0.5) for a in (*CLASSES[2], " ")}
+    others = dict.fromkeys(CLASSES[0] + CLASSES[3], 1.0)
+    is_letter = lambda c: kind[c] in (1, 2)
+    for (a, b), n in pairs.items():
+        if b == " ":
+            continue
+        classes[kind[a]][kind[b]] += n
+        if is_letter(b):
+            letters[a.lower() if is_letter(a) else " "][b.lower()] += n
+        else:
+            others[b] += n
+    out = []
+    for a in (" ", *every):
+        after, row = classes[kind[a]], letters[a.lower() if is_letter(a) else " "]
+        in_row = sum(row.values())
+        for b in every:
+            share = row[b.lower()] / in_row if is_letter(b) else others[b] / sum(others[c] for c in CLASSES[kind[b]])
+            of_class = (1 - ANY_CLASS) * after[kind[b]] / sum(after) + ANY_CLASS / len(CLASSES)
+            out.append(-math.log2(of_class * share))
+    return out
+
+
 def _same(x: Column) -> Column:
     """The sum of squared character counts of a string."""
     return F.aggregate(
@@ -58,11 +117,6 @@ def _same(x: Column) -> Column:
     )
 
 
-def _coincidence(x: Column) -> Column:
-    n = F.length(x).cast("double")
-    return (_same(x) - n) / (n * (n - 1))
-
-
 def _tail(z: Column) -> Column:
     """log10 of the standard normal's upper tail, by its logistic approximation up to 3 and its series beyond."""
     near = -F.log10(1 + F.exp(F.least(F.lit(700.0), 1.5976 * z + 0.07056 * z * z * z)))
@@ -70,10 +124,15 @@ def _tail(z: Column) -> Column:
     return F.when(z > 3, far).otherwise(near)
 
 
-def _battery(token: Column) -> Column:
-    """Encoding, length, coincidence and the battery's least log10 p-value of one candidate."""
+def _log(x: Column) -> Column:
+    """The natural logarithm, 0 at 0, where it is multiplied by 0."""
+    return F.when(x > 0, F.ln(x)).otherwise(F.lit(0.0))
+
+
+def _battery(token: Column, bits: list[float]) -> Column:
+    """Length, the least log10 p-value against noise, and bits of evidence against ordinary text of one candidate."""
     body = F.rtrim(token, F.lit("="))
-    lower, plain = F.lower(body), F.translate(body, "-_", "+/")
+    lower = F.lower(body)
     one_case = (body == lower) | (body == F.upper(body))
     kind = (
         F.when(body.rlike("^[0-9a-f]+$") | body.rlike("^[0-9A-F]+$"), "hex")
@@ -81,47 +140,55 @@ def _battery(token: Column) -> Column:
         .when(body.rlike("^[A-Za-z0-9]+$"), "base62")
         .otherwise("base64")
     )
+    every = "".join(CLASSES)
+    table = F.split(F.lit(",".join(f"{x:.4f}" for x in bits)), ",").cast("array<double>")
 
     def tests(k: Column) -> Column:
-        text = F.when(k.isin("hex", "base36"), lower).otherwise(plain)
-        size = F.lit(64.0)
-        letters = F.lit(ALPHABETS["base64"][1])
+        text = F.when(k.isin("hex", "base36"), lower).otherwise(F.translate(body, "-_", "+/"))
+        size, letters = F.lit(64.0), F.lit(ALPHABETS["base64"][1])
         for name in ("hex", "base36", "base62"):
             size = F.when(k == name, float(ALPHABETS[name][0])).otherwise(size)
             letters = F.when(k == name, ALPHABETS[name][1]).otherwise(letters)
+        return let(F.struct(text.alias("text"), size.alias("size"), letters.alias("letters"), table.alias("table")), on)
+
+    def on(h: Column) -> Column:
+        n = F.length(h["text"]).cast("double")
+        chars = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
+        places = F.transform(chars(h["text"]), lambda c: (F.instr(h["letters"], c) - F.lit(0.5)) / h["size"] - 0.5)
+        start = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("changes"), F.lit(0.0).alias("serial"))
+        step = lambda s, x: F.struct(
+            x.alias("x"), (s["changes"] + F.when(s["x"] * x < 0, 1.0).otherwise(0.0)).alias("changes"), (s["serial"] + 12 * s["x"] * x).alias("serial")
+        )
+        first = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("bits"))
+        read = lambda s, c: let(
+            F.instr(F.lit(every), c), lambda p: F.struct(p.alias("at"), (s["bits"] + F.get(h["table"], s["at"] * len(every) + p - 1)).alias("bits"))
+        )
 
-        def on(t: Column) -> Column:
-            n = F.length(t).cast("double")
-            at = F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: (F.instr(letters, c) - F.lit(0.5)) / size - 0.5)
-
-            def scored(u: Column) -> Column:
-                pairs = F.transform(F.slice(u, 2, F.greatest(F.size(u) - 1, F.lit(0))), lambda y, i: F.struct(F.get(u, i).alias("x"), y.alias("y")))
-                changes = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.when((p["x"] > 0) != (p["y"] > 0), 1.0).otherwise(0.0))
-                serial = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + 12 * p["x"] * p["y"])
-                chi = size / n * _same(t) - n
-                z_chi = (chi - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n)
-                z_runs = F.abs(changes - (n - 1) / 2) / F.sqrt((n - 1) / 4)
-                z_serial = F.abs(serial) / F.sqrt(n - 1)
-                two = math.log10(2)
-                least = F.least(_tail(z_chi), _tail(z_runs) + two, _tail(z_serial) + two) + math.log10(3)
-                return F.struct(k.alias("encoding"), n.alias("n"), _coincidence(t).alias("ic"), least.alias("log_p_random"))
-
-            return let(at, scored)
+        def scored(u: Column) -> Column:
+            equal, expected = (_same(h["text"]) - n) / 2, n * (n - 1) / 2 / h["size"]
+            q = u["noise"]["changes"] / (n - 1)
+            chi = F.when(equal > expected, equal - expected - equal * _log(equal / expected)).otherwise(F.lit(0.0)) * math.log10(math.e)
+            runs = -(n - 1) * (q * _log(2 * q) + (1 - q) * _log(2 * (1 - q))) * math.log10(math.e)
+            serial = _tail(F.abs(u["noise"]["serial"]) / F.sqrt(n - 1))
+            least = F.least(chi, runs + math.log10(2), serial + math.log10(2)) + math.log10(3)
+            evidence = u["ordinary"]["bits"] - n * F.log2(h["size"])
+            whole = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(float(MOST_BITS)), evidence))).cast("int")
+            return F.struct(n.alias("n"), least.alias("log_p_random"), whole.alias("bits"))
 
-        return let(text, on)
+        return let(F.struct(F.aggregate(places, start, step).alias("noise"), F.aggregate(chars(body), first, read).alias("ordinary")), scored)
 
     return let(kind, tests)
 
 
-def scan(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """doc_id, (with carry the whole row,) base spans, candidates with the battery's results, and sums over ordinary words."""
+def scan(docs: DataFrame, bits: list[float] | None, carry: bool = False) -> DataFrame:
+    """doc_id, (with carry the whole row,) base spans, and candidates that the battery holds random, by stratum and bits."""
     text = F.coalesce(F.col("text"), F.lit(""))
     none = "array<struct<start:bigint,end:bigint,kind:string>>"
     bare = lambda a: F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
     assign = bare(F.filter(matches(F.col("text"), ASSIGN, "assign", (2,)), lambda x: F.length(x["g2"]) >= 6))
     access, hexes = (bare(matches(F.col("text"), p, k)) for p, k in ((ACCESS, "access"), (HEX, "hex")))
     when = lambda may, spans: F.when(F.col("text").rlike(may), spans).otherwise(F.array().cast(none))
-    both = lambda x: x["text"].rlike("[0-9]") & x["text"].rlike("[A-Za-z]")
+    both = lambda x: x["text"].rlike("[A-Za-z]") & (x["text"].rlike("[0-9]") | (x["text"].rlike("[a-z]") & x["text"].rlike("[A-Z]")))
 
     def parts(x: Column) -> Column:
         """What no base span covers of a run, in pieces that are candidates themselves."""
@@ -137,36 +204,23 @@ def scan(docs: DataFrame, carry: bool = False) -> DataFrame:
         whole = F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text")))
         return F.when(F.size(over) == 0, whole).otherwise(let(F.aggregate(over, x["text"], blank), moved))
 
-    runs = F.flatten(F.transform(matches(F.col("text"), CANDIDATE, "random"), parts))
-    candidates = F.transform(
-        F.filter(runs, lambda x: both(x) & (F.length(F.rtrim(x["text"], F.lit("="))) >= 20)),
-        lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _battery(x["text"]).alias("t")),
-    )
-    ordinary = F.aggregate(
-        F.regexp_extract_all("text", F.lit(WORD), F.lit(0)),
-        F.struct(*[F.lit(0.0).alias(k) for k in ("words", "chars", "hex_chars", "ic", "n_ic", "n_ic2")]),
-        lambda s, w: let(
-            F.struct(F.length(w).cast("double").alias("n"), _coincidence(F.lower(w)).alias("ic"), F.length(F.regexp_replace(w, "[^a-fA-F]+", "")).alias("hex")),
-            lambda x: F.struct(
-                (s["words"] + 1).alias("words"),
-                (s["chars"] + x["n"]).alias("chars"),
-                (s["hex_chars"] + x["hex"]).alias("hex_chars"),
-                (s["ic"] + x["ic"]).alias("ic"),
-                (s["n_ic"] + x["n"] * x["ic"]).alias("n_ic"),
-                (s["n_ic2"] + x["n"] * x["ic"] * x["ic"]).alias("n_ic2"),
-            ),
-        ),
-    )
-    kind_of = "array<struct<start:bigint,end:bigint,t:struct<encoding:string,n:double,ic:double,log_p_random:double>>>"
+    kind_of = "array<struct<start:bigint,end:bigint,stratum:int,bits:int>>"
+    if bits is None:
+        found = F.array().cast(kind_of)
+    else:
+        runs = F.flatten(F.transform(matches(F.col("text"), CANDIDATE, "random"), parts))
+        tested = F.transform(
+            F.filter(runs, lambda x: both(x) & (F.length(F.rtrim(x["text"], F.lit("="))) >= 20)),
+            lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _battery(x["text"], bits).alias("t")),
+        )
+        held = F.transform(
+            F.filter(tested, lambda c: c["t"]["log_p_random"] >= math.log10(REJECT_RANDOM)),
+            lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), _stratum(c["t"]["n"]).alias("stratum"), c["t"]["bits"].alias("bits")),
+        )
+        found = F.when(F.col("text").rlike(CANDIDATE), held).otherwise(F.array().cast(kind_of))
     whole = [F.struct(*docs.columns).alias("row")] if carry else []
     based = F.concat(when(ASSIGN_MAY, assign), when(ACCESS, access), when(HEX, hexes)).alias("base")
-    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), *whole).select("*", based).select(
-        "doc_id",
-        *(["row"] if carry else []),
-        "base",
-        F.when(F.col("text").rlike(CANDIDATE), candidates).otherwise(F.array().cast(kind_of)).alias("candidates"),
-        ordinary.alias("ordinary"),
-    )
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), *whole).select("*", based).select("doc_id", *(["row"] if carry else []), "base", found.alias("open"))
 
 
 def _rank(kind: Column) -> Column:
@@ -191,46 +245,30 @@ def _stratum(n: Column) -> Column:
 
 
 def discovery_limits(counts: list[tuple[int, int, int]], rate: float = FALSE_DISCOVERIES) -> dict[int, int]:
-    """Per stratum the least tenth of -log10(p) that passes Benjamini-Hochberg; counts: (stratum, tenth, n)."""
+    """Per stratum the fewest bits that pass Benjamini-Hochberg; counts: (stratum, bits, n) of p-values 2 ** -bits."""
     limits = {}
     for stratum in {s for s, _, _ in counts}:
-        own = sorted(((t, n) for s, t, n in counts if s == stratum), reverse=True)
+        own = sorted(((b, n) for s, b, n in counts if s == stratum), reverse=True)
         total, passed = sum(n for _, n in own), 0
-        for tenth, n in own:
+        for bits, n in own:
             passed += n
-            if -tenth / 10 <= math.log10(rate * passed / total):
-                limits[stratum] = tenth
+            if -bits <= math.log2(rate * passed / total):
+                limits[stratum] = bits
     return limits
 
 
 def secrets(docs: DataFrame, carry: bool = False) -> DataFrame:
     """doc_id, base and spans (arrays of start, end, kind) for every row of docs; with carry the row too."""
-    scanned = store(scan(docs, carry), "secrets")
-    s = scanned.agg(*[F.sum(f"ordinary.{k}").alias(k) for k in ("words", "chars", "hex_chars", "ic", "n_ic", "n_ic2")]).first()
-    some = bool(s["words"]) and s["words"] >= 2
-    mean = s["n_ic"] / s["chars"] if some else 1.0
-    spread = math.sqrt(max(1e-9, (s["n_ic2"] - 2 * mean * s["n_ic"] + mean * mean * s["chars"]) / s["words"])) if some else 1e9
-    in_hex = (s["hex_chars"] + 1) / (s["chars"] + 2) if some else 0.5
-
-    def tenth(t: Column) -> Column:
-        ordinary = F.when(t["encoding"] == "hex", t["n"] * math.log10(in_hex)).otherwise(_tail((F.lit(mean) - t["ic"]) * F.sqrt(t["n"]) / spread))
-        return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(60.0), -ordinary)) * 10).cast("int")
-
-    # Candidates hold nothing that a base span covers.
-    open_ones = F.filter("candidates", lambda c: c["t"]["log_p_random"] >= math.log10(REJECT_RANDOM))
-    open_ones = F.transform(
-        open_ones,
-        lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), _stratum(c["t"]["n"]).alias("stratum"), tenth(c["t"]).alias("tenth")),
-    )
+    held = store(scan(docs, ordinary_bits(ordinary_pairs(docs)), carry), "secrets")
     kept = ["row"] if carry else []
-    held = scanned.select("doc_id", *kept, "base", open_ones.alias("open"))
-    tally = held.select(F.explode("open").alias("c")).groupBy("c.stratum", "c.tenth").agg(F.count(F.lit(1)).alias("n"))
+    tally = held.select(F.explode("open").alias("c")).groupBy("c.stratum", "c.bits").agg(F.count(F.lit(1)).alias("n"))
+    # At most MOST_BITS counts of each stratum.
     limits = discovery_limits([tuple(r) for r in tally.collect()])
 
     def passed(c: Column) -> Column:
         out = F.lit(False)
         for stratum, least in limits.items():
-            out = out | ((c["stratum"] == stratum) & (c["tenth"] >= least))
+            out = out | ((c["stratum"] == stratum) & (c["bits"] >= least))
         return out
 
     found = F.transform(F.filter("open", passed), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit("random").alias("kind")))
