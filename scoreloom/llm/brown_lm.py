@@ -6,10 +6,14 @@ their training counts, and the documents as codes into those words. All later pa
 * Exchange clustering: the CORE most frequent words move, round by round, each to the class that
   raises the class bigrams' likelihood most, from bigram counts over the whole training text. Each
   task sums what its blocks hold of a range of words; the move of a range is decided in one task of
-  fixed size. Half of the words may move in a round, so that neighbours do not swap.
-* Every other training word goes to the class that its contexts favour: each block proposes the best
-  class by its own contexts, and the block with most of the word's tokens decides.
-* Counts: one shuffle brings each word's rows from all blocks together for its count and class.
+  fixed size. Half of the words may move in a round, so that neighbours do not swap; a round that
+  loses is taken back, and from then on half as many move at a time. Rounds go on until as many as
+  move every word once gain less than CONVERGED of all that was gained so far.
+* Which words are the most frequent ones is exact: no word outside the blocks' own tops and above a
+  block's share of the least such sum can be one, and the candidates left are counted in full.
+* Every other training word goes to the class that its contexts favour: one shuffle brings each
+  word's rows from all blocks together, and its contexts and counts are summed over all of them. A
+  word has one row for each block at most, of which twelve bytes are held at a time.
 * Scoring: each block gets the classes and counts of its words back, and then its transitions; the
   model is P(c | c') P(w | c), interpolated with P(c) by Witten-Bell weights, with
   the share of once-seen words kept for the one unknown word.
@@ -24,7 +28,7 @@ an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +36,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.llm.common import discard, fold, store
@@ -43,7 +47,10 @@ HELD_OUT = 2
 CLASSES = 64
 #: Words that exchange clustering moves, the most frequent ones; it bounds what is broadcast.
 CORE = 8192
-ROUNDS = 3
+#: Exchange ends when rounds in which every word could move once gain less than this share of all that was gained.
+CONVERGED = 0.02
+#: A bound for the exchange's rounds that no corpus should meet; it raises beyond.
+MOST_ROUNDS = 200
 #: Words whose moves one task decides.
 RANGE = 512
 #: Tokens of a block, about.
@@ -236,18 +243,28 @@ def best_moves(left: np.ndarray, right: np.ndarray, own: np.ndarray, pairs: np.n
     return out
 
 
-def exchange(stored: DataFrame, core: Core, rounds: int = ROUNDS) -> Core:
-    """Core after some rounds of exchange."""
+def likelihood(pairs: np.ndarray) -> float:
+    """What the classes add to the log-likelihood of class bigrams with these counts."""
+    f = lambda x: float((x[x > 0] * np.log(x[x > 0])).sum())
+    return f(pairs.astype(np.float64)) - f(pairs.sum(axis=0).astype(np.float64)) - f(pairs.sum(axis=1).astype(np.float64))
+
+
+def exchange(stored: DataFrame, core: Core, converged: float = CONVERGED, gains: list[float] | None = None) -> Core:
+    """Core after exchange to convergence; each round's likelihood is added to gains."""
     spark = stored.sparkSession
     wide = CLASSES + 2
     if not len(core.words):
         return core
+    kept, parts, turn = core, min(2, len(core.words)), 0
+    #: Likelihoods since the number of parts changed, and of all rounds.
+    seen: list[float] = []
+    every: list[float] = [] if gains is None else gains
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(_unpack(x.as_py(), np.int64) for x in table["sums"])
         return pa.table({"range": table["range"][:1], "share": table["share"][:1], "sums": pa.array([_pack(total)], pa.binary())})
 
-    for turn in range(rounds):
+    for _ in range(MOST_ROUNDS):
         # Tasks' sums are added in shares of at most 256 tasks, then the shares.
         kinds = "range int, share int, sums binary"
         shares = _contexts(stored, core).groupBy("range", "share").applyInArrow(add, kinds)
@@ -270,16 +287,27 @@ def exchange(stored: DataFrame, core: Core, rounds: int = ROUNDS) -> Core:
         # Bigrams between core words are in both; those with an end or another word in one.
         pairs = both[1].copy()
         pairs[CLASSES:, :] = both[0][CLASSES:, :]
+        now = likelihood(pairs)
+        if seen and now < seen[-1] - 1e-12 * abs(now) and parts < len(core.words):
+            discard(ranges)
+            core, parts, seen = kept, min(2 * parts, len(core.words)), []
+            continue
+        seen.append(now)
+        every.append(now)
+        if len(seen) > parts and now - seen[-1 - parts] <= converged * (now - every[0]):
+            discard(ranges)
+            return core
+        kept = core
         whole = spark.sparkContext.broadcast(pairs)
 
-        def decide(batches: Iterator[pa.RecordBatch], shared=shared, whole=whole, turn=turn) -> Iterator[pa.RecordBatch]:
+        def decide(batches: Iterator[pa.RecordBatch], shared=shared, whole=whole, turn=turn, parts=parts) -> Iterator[pa.RecordBatch]:
             classes = shared.value.classes
             for batch in batches:
                 for r, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     first = r * RANGE
                     own = classes[first : first + RANGE]
                     t = _unpack(sums, np.int64).reshape(-1, 2, wide)[: len(own)]
-                    moving = (np.arange(first, first + len(own)) + turn) % 2 == 0
+                    moving = (np.arange(first, first + len(own)) + turn) % parts == 0
                     to = own.copy()
                     to[moving] = best_moves(t[moving, 0], t[moving, 1], own[moving], whole.value)
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(own))), pa.array(to.astype(np.int64))], ["word", "class"])
@@ -290,20 +318,44 @@ def exchange(stored: DataFrame, core: Core, rounds: int = ROUNDS) -> Core:
             classes[r["word"]] = r["class"]
         discard(ranges)
         core = Core(core.words, core.counts, classes)
-    return core
+        turn += 1
+        for x in (shared, whole):
+            x.unpersist()
+    raise RuntimeError("exchange did not converge")
 
 
-def _first_core(stored: DataFrame, size: int) -> Core:
-    """The most frequent training words of all that are among any block's most frequent, dealt over the classes by rank."""
+def _counted(stored: DataFrame, chosen: Callable[[Block], np.ndarray]) -> DataFrame:
+    """(word, n, blocks) over what is chosen of each block's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _read(batches):
-            top = np.argsort(-b.counts, kind="stable")[:size]
-            top = top[b.counts[top] > 0]
-            yield pa.RecordBatch.from_arrays([b.words.take(pa.array(top)), pa.array(b.counts[top])], ["word", "n"])
+            at = chosen(b)
+            at = at[b.counts[at] > 0]
+            yield pa.RecordBatch.from_arrays([b.words.take(pa.array(at)), pa.array(b.counts[at])], ["word", "n"])
 
-    counted = stored.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(size).collect()
+    counted = stored.mapInArrow(run, "word string, n long")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks"))
+
+
+def _first_core(stored: DataFrame, size: int) -> Core:
+    """The most frequent training words, dealt over the classes by rank (ties by the word)."""
+    tops = _counted(stored, lambda b: np.argsort(-b.counts, kind="stable")[:size])
+    least = tops.orderBy(F.desc("n"), "word").limit(size).agg(F.min("n")).first()[0]
+    blocks = stored.count()
+    if not least:
+        return Core(pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    # A word of at least this sum has at least its share of it in some block.
+    share = max(1, -(-least // blocks))
+    some = _counted(stored, lambda b: np.flatnonzero(b.counts >= share))
+    may = some.filter(F.col("n") + (blocks - F.col("blocks")) * (share - 1) >= least).select("word")
+    # Candidates are few more than size; were they many, they would be counted by a shuffle of all words.
+    held = may.limit(8 * size + 1).collect()
+    if len(held) <= 8 * size:
+        shared = stored.sparkSession.sparkContext.broadcast(pa.array(sorted(r["word"] for r in held), pa.string()))
+        exact = _counted(stored, lambda b: np.flatnonzero(pc.is_in(b.words, value_set=shared.value).to_numpy(zero_copy_only=False)))
+    else:
+        exact = _counted(stored, lambda b: np.arange(len(b.counts)))
+    top = exact.orderBy(F.desc("n"), "word").limit(size).collect()
     return Core(pa.array([r["word"] for r in top], pa.string()), np.array([r["n"] for r in top], np.int64), np.arange(len(top)) % CLASSES)
 
 
@@ -340,44 +392,90 @@ def _affinity(stored: DataFrame, core: Core) -> tuple[np.ndarray, np.ndarray]:
 def lookups(stored: DataFrame, core: Core) -> DataFrame:
     """(block, at, class, n, first): what each block's words are in the whole training text.
 
-    A word's class is the one that the block with most of its tokens proposes; first marks one row
-    of each word.
+    The class of a word outside the core is the one that all its contexts together favour; first marks one row of each such word.
     """
     before, after = _affinity(stored, core)
-    shared = stored.sparkSession.sparkContext.broadcast((core, before.astype(np.float32), after.astype(np.float32)))
+    shared = stored.sparkSession.sparkContext.broadcast(core)
+    wide = CLASSES + 2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, lead, follow = shared.value
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _read(batches):
-            known = c.class_of(b.words)
+            known = shared.value.class_of(b.words)
             kind = b.sequence(known, CLASSES, True)
             code = b.sequence(np.arange(len(b.words), dtype=np.int32), -1, True)
             at = np.flatnonzero(kind == CLASSES + 1)
             at = at[np.argsort(code[at], kind="stable")]
-            proposed = known.copy()
-            firsts = np.flatnonzero(np.append(True, np.diff(code[at]) != 0)) if len(at) else np.zeros(0, np.int64)
-            step = 4096
-            for k in range(0, len(firsts), step):
-                lo = firsts[k]
-                hi = firsts[k + step] if k + step < len(firsts) else len(at)
-                each = lead[kind[at[lo:hi] - 1]] + follow[kind[at[lo:hi] + 1]]
-                proposed[code[at[firsts[k : k + step]]]] = np.add.reduceat(each, firsts[k : k + step] - lo, axis=0).argmax(axis=1)
-            for k in range(0, len(b.words), 50_000):
-                n = len(b.words[k : k + 50_000])
-                columns = [pa.array(np.full(n, b.number)), pa.array(np.arange(k, k + n, dtype=np.int32)), b.words.slice(k, n)]
-                columns += [pa.array(proposed[k : k + n].astype(np.int32)), pa.array(b.counts[k : k + n])]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "at", "word", "class", "n"])
-
-    votes = stored.mapInArrow(run, "block long, at int, word string, class int, n long")
-    same = Window.partitionBy("word").orderBy("block")
-    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return votes.select(
-        "block",
-        "at",
-        F.max_by("class", F.struct("n", -F.col("class"))).over(whole).alias("class"),
-        F.sum("n").over(whole).alias("n"),
-        (F.row_number().over(same) == 1).alias("first"),
-    )
+            # A byte for the class before and one for that after each token, word by word.
+            around = np.stack([kind[at - 1], kind[at + 1]], axis=1).astype(np.uint8).tobytes()
+            sizes = np.bincount(code[at], minlength=len(b.words)) if len(at) else np.zeros(len(b.words), np.int64)
+            own = np.flatnonzero(known == CLASSES + 1)
+            ends = 2 * np.cumsum(sizes[own])
+            for k in range(0, len(own), 50_000):
+                n = len(own[k : k + 50_000])
+                offsets = np.append(ends[k - 1] if k else 0, ends[k : k + n])
+                contexts = pa.Array.from_buffers(
+                    pa.binary(), n, [None, pa.py_buffer((offsets - offsets[0]).astype(np.int32).tobytes()), pa.py_buffer(around[offsets[0] : offsets[-1]])]
+                )
+                part = own[k : k + n]
+                columns = [pa.array(np.full(n, b.number)), pa.array(part.astype(np.int32)), b.words.take(pa.array(part)), pa.array(b.counts[part]), contexts]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "at", "word", "n", "contexts"])
+
+    def core_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _read(batches):
+            c = shared.value
+            of = c.codes_of(b.words)
+            at = np.flatnonzero(of < len(c.words))
+            columns = [np.full(len(at), b.number), at.astype(np.int32), c.classes[of[at]].astype(np.int32), c.counts[of[at]], np.zeros(len(at), bool)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["block", "at", "class", "n", "first"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, total, evidence = None, 0, np.zeros(CLASSES)
+        rows: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def emit(block: np.ndarray, at: np.ndarray, kind: np.ndarray, n: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+            first = np.zeros(len(block), bool)
+            first[np.cumsum(sizes) - sizes] = True
+            columns = [block, at, np.repeat(kind, sizes).astype(np.int32), np.repeat(n, sizes), first]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "at", "class", "n", "first"])
+
+        def finished() -> pa.RecordBatch:
+            block, at = (np.concatenate(x) for x in zip(*rows))
+            return emit(block, at, np.array([evidence.argmax()]), np.array([total]), np.array([len(block)]))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words, contexts = batch.column(2), batch.column(4)
+            starts = np.append(0, np.flatnonzero(pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)) + 1)
+            sizes = np.diff(np.append(starts, len(words)))
+            n = np.add.reduceat(batch.column(3).to_numpy(), starts)
+            lengths = pc.binary_length(contexts).to_numpy() // 2
+            around = np.frombuffer(b"".join(contexts.to_pylist()), np.uint8).reshape(-1, 2).astype(np.int64)
+            group = np.repeat(np.repeat(np.arange(len(starts)), sizes), lengths) * wide
+            seen = [np.bincount(group + around[:, k], minlength=len(starts) * wide).reshape(-1, wide) for k in (0, 1)]
+            favour = seen[0] @ before + seen[1] @ after
+            block, at = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            lo = 0
+            if words[0].as_py() == word:
+                # The word goes on from the batch before.
+                rows.append((block[: sizes[0]], at[: sizes[0]]))
+                total, evidence, lo = total + n[0], evidence + favour[0], 1
+                if len(starts) == 1:
+                    continue
+            if rows:
+                yield finished()
+            last = len(starts) - 1
+            if last > lo:
+                inner = slice(starts[lo], starts[last])
+                yield emit(block[inner], at[inner], favour[lo:last].argmax(axis=1), n[lo:last], sizes[lo:last])
+            word, total, evidence = words[len(words) - 1].as_py(), n[last], favour[last]
+            rows = [(block[starts[last] :], at[starts[last] :])]
+        if rows:
+            yield finished()
+
+    sent = stored.mapInArrow(send, "block long, at int, word string, n long, contexts binary")
+    kinds = "block long, at int, class int, n long, first boolean"
+    return sent.repartition("word").sortWithinPartitions("word").mapInArrow(decide, kinds).unionByName(stored.mapInArrow(core_rows, kinds))
 
 
 @dataclass(frozen=True)
@@ -507,21 +605,22 @@ def _scored(coded: DataFrame, totals: Totals, steps: np.ndarray) -> DataFrame:
     return coded.mapInArrow(run, RESULT)
 
 
-def score(docs: DataFrame, core_words: int = CORE, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, core_words: int = CORE, converged: float = CONVERGED) -> DataFrame:
     """Both scores of every row of docs(doc_id, text), learned from the rows that are not held out."""
     stored = store(blocks(docs), "blocks")
-    core = exchange(stored, _first_core(stored, core_words), rounds)
+    core = exchange(stored, _first_core(stored, core_words), converged)
     looked = store(lookups(stored, core), "lookups")
     trained = F.filter(F.arrays_zip("held", "lengths"), lambda x: ~x["held"])
     ends = stored.agg(F.sum(F.size(trained))).first()[0] or 0
     words = looked.filter(F.col("first") & (F.col("n") > 0)).groupBy("class")
-    by_class = {r["class"]: r for r in words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once")).collect()}
-    of_class = np.zeros(CLASSES + 1)
-    for k, r in by_class.items():
-        of_class[k] = r["n"]
+    rest = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once")).collect()
+    of_class = np.bincount(core.classes, weights=core.counts, minlength=CLASSES + 1).astype(np.float64)
+    for r in rest:
+        of_class[r["class"]] += r["n"]
     of_class[CLASSES] = ends
-    total = sum(r["n"] for r in by_class.values()) + ends
-    totals = Totals(total, sum(r["v"] for r in by_class.values()) + (ends > 0), ends, sum(r["once"] for r in by_class.values()) + (ends == 1), of_class)
+    types = len(core.words) + sum(r["v"] for r in rest) + (ends > 0)
+    once = int((core.counts == 1).sum()) + sum(r["once"] for r in rest) + (ends == 1)
+    totals = Totals(int(core.counts.sum()) + sum(r["n"] for r in rest) + ends, types, ends, once, of_class)
     coded = store(_coded(stored, looked, totals), "coded")
     discard(stored)
     discard(looked)

@@ -52,7 +52,7 @@ def test_probabilities_sum_to_one(spark):
     probes = [(k, f"n3 {w}") for k, w in zip(free, [*vocab, "unseen"])] + [(free[60], "n3")]
     docs = spark.createDataFrame(rows + probes, "doc_id long, text string")
     stored = lm.store(lm.blocks(docs), "t")
-    core = lm.exchange(stored, lm._first_core(stored, 100), 4)
+    core = lm.exchange(stored, lm._first_core(stored, 100))
     of = dict(zip(core.words.to_pylist(), core.classes.tolist()))
     assert not {of[w] for w in nouns} & {of[w] for w in verbs}
     # The end's own probability after each word is left out by comparing transitions directly.
@@ -75,3 +75,101 @@ def test_nothing_to_learn(spark):
     got = sorted(map(tuple, lm.op1(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert [g[:6] for g in got] == [(held[0], True, 3, 0, 0, 0.0), (held[1], True, 1, 0, 0, 0.0)]
     assert lm.op1(cases.with_clashes(spark, [])).count() == 0
+
+
+def gain(pairs):
+    f = lambda x: sum(v * math.log(v) for v in x.values() if v > 0)
+    left, right = {}, {}
+    for (a, b), n in pairs.items():
+        left[a] = left.get(a, 0) + n
+        right[b] = right.get(b, 0) + n
+    return f(pairs) - f(left) - f(right)
+
+
+def class_pairs(texts, of):
+    out = {}
+    for words in texts:
+        kinds = ["end", *[of[w] for w in words], "end"]
+        for a, b in zip(kinds, kinds[1:]):
+            out[a, b] = out.get((a, b), 0) + 1
+    return out
+
+
+@pytest.fixture(scope="module")
+def small():
+    """Two kinds of alternating words, some of them rare, in documents of several lengths."""
+    rng = random.Random(4)
+    left, right = [f"l{k}" for k in range(8)], [f"r{k}" for k in range(8)]
+    rows = []
+    for k in range(90):
+        words = [x for _ in range(rng.randint(1, 9)) for x in (rng.choice(left), rng.choice(right))]
+        rows.append((k, " ".join(words + [f"once{k}"] * (k % 3 == 0))))
+    train = [t.split() for k, t in rows if zlib.crc32(str(k).encode()) % 7 != 2]
+    return rows, train
+
+
+def test_exchange_ends_where_no_move_gains(spark, small, monkeypatch):
+    monkeypatch.setattr(lm, "CLASSES", 4)
+    rows, train = small
+    stored = lm.store(lm.blocks(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)), "t")
+    core = lm._first_core(stored, 1000)
+    n = {}
+    for t in train:
+        for w in t:
+            n[w] = n.get(w, 0) + 1
+    assert dict(zip(core.words.to_pylist(), core.counts.tolist())) == n
+    assert lm._first_core(stored, 5).words.to_pylist() == sorted(n, key=lambda w: (-n[w], w))[:5]
+    gains = []
+    core = lm.exchange(stored, lm._first_core(stored, 6), 0.0, gains)
+    of = dict.fromkeys(n, "rest") | dict(zip(core.words.to_pylist(), core.classes.tolist()))
+    # Pairs without a word that moves are not counted; they change nothing.
+    counted = lambda of: gain({k: v for k, v in class_pairs(train, of).items() if not set(k) <= {"rest", "end"}})
+    best = counted(of)
+    assert best == pytest.approx(gains[-1]) and gains == sorted(gains) and gains[-1] > gains[0]
+    for w in core.words.to_pylist():
+        for c in range(4):
+            assert counted(of | {w: c}) <= best + 1e-6
+
+
+def test_scores_match_the_model_written_out(spark, small, monkeypatch):
+    end = lm.CLASSES
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 60)
+    rows, train = small
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    stored = lm.store(lm.blocks(docs), "t")
+    # All but eight words are classed by what their contexts favour.
+    core = lm.exchange(stored, lm._first_core(stored, 8))
+    of = dict(zip(core.words.to_pylist(), core.classes.tolist()))
+    before, after = lm._affinity(stored, core)
+    favour, n = {}, {}
+    for t in train:
+        kinds = [end, *[of.get(w, end + 1) for w in t], end]
+        for k, w in enumerate(t):
+            n[w] = n.get(w, 0) + 1
+            favour[w] = favour.get(w, 0) + before[kinds[k]] + after[kinds[k + 2]]
+    of |= {w: int(np.argmax(f)) for w, f in favour.items() if w not in of}
+    blocks = {r["block"]: r["words"] for r in stored.collect()}
+    looked = {(blocks[r["block"]][r["at"]], r["class"], r["n"]) for r in lm.lookups(stored, core).collect() if r["n"]}
+    assert looked == {(w, of[w], n[w]) for w in n}
+    pairs = np.zeros((end + 2, end + 2), np.int64)
+    for a, b in ((a, b) for t in train for k in [[end, *[of[w] for w in t], end]] for a, b in zip(k, k[1:])):
+        pairs[a, b] += 1
+    step = 10 ** lm.log_transitions(pairs)
+    unknown = sum(v == 1 for v in n.values()) / (sum(n.values()) + len(train) + 1)
+    in_class = {c: sum(v for w, v in n.items() if of[w] == c) for c in range(end)}
+
+    def p(word, last):
+        """P(word, or the end) after a class."""
+        if word is None:
+            return step[last, end] * (1 - unknown)
+        return step[last, of[word]] * (1 - unknown) * n[word] / in_class[of[word]] if word in n else unknown
+
+    for last in range(end + 1):
+        assert sum(p(w, last) for w in n) + p(None, last) + p("unseen", last) == pytest.approx(1)
+    got = {r["doc_id"]: r for r in lm.score(docs, 8).collect()}
+    for k, t in rows:
+        want, last = 0.0, end
+        for w in [*t.split(), None]:
+            want += math.log10(p(w, last))
+            last = end if w is None else of.get(w, end + 1)
+        assert got[k]["score"] == pytest.approx(want)
