@@ -7,8 +7,8 @@ their training counts, and the documents as codes into those words. All later pa
   raises the class bigrams' likelihood most, from bigram counts over the whole training text. Each
   task sums what its blocks hold of a range of words; the move of a range is decided in one task of
   fixed size. Half of the words may move in a round, so that neighbours do not swap; a round that
-  loses is taken back, and from then on half as many move at a time. Rounds go on until as many as
-  move every word once gain less than CONVERGED of all that was gained so far.
+  loses is taken back, and from then on half as many move at a time. Rounds go on until two of them
+  gain less than CONVERGED of all that was gained so far, or none of a whole turn gains anything.
 * Which words are the most frequent ones is exact: no word outside the blocks' own tops and above a
   block's share of the least such sum can be one, and the candidates left are counted in full.
 * Every other training word goes to the class that its contexts favour: one shuffle brings each
@@ -47,8 +47,8 @@ HELD_OUT = 2
 CLASSES = 64
 #: Words that exchange clustering moves, the most frequent ones; it bounds what is broadcast.
 CORE = 8192
-#: Exchange ends when rounds in which every word could move once gain less than this share of all that was gained.
-CONVERGED = 0.02
+#: Exchange ends when two rounds gain less than this share of all that was gained.
+CONVERGED = 0.01
 #: A bound for the exchange's rounds that no corpus should meet; it raises beyond.
 MOST_ROUNDS = 200
 #: Words whose moves one task decides.
@@ -255,10 +255,8 @@ def exchange(stored: DataFrame, core: Core, converged: float = CONVERGED, gains:
     wide = CLASSES + 2
     if not len(core.words):
         return core
-    kept, parts, turn = core, min(2, len(core.words)), 0
-    #: Likelihoods since the number of parts changed, and of all rounds.
-    seen: list[float] = []
-    every: list[float] = [] if gains is None else gains
+    kept, parts, turn, since = core, min(2, len(core.words)), 0, 0
+    seen: list[float] = [] if gains is None else gains
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(_unpack(x.as_py(), np.int64) for x in table["sums"])
@@ -290,11 +288,14 @@ def exchange(stored: DataFrame, core: Core, converged: float = CONVERGED, gains:
         now = likelihood(pairs)
         if seen and now < seen[-1] - 1e-12 * abs(now) and parts < len(core.words):
             discard(ranges)
-            core, parts, seen = kept, min(2 * parts, len(core.words)), []
+            core, parts, since = kept, min(2 * parts, len(core.words)), 0
+            turn += 1
+            seen.pop()
             continue
         seen.append(now)
-        every.append(now)
-        if len(seen) > parts and now - seen[-1 - parts] <= converged * (now - every[0]):
+        since += 1
+        slow = len(seen) > 2 and now - seen[-3] < converged * (now - seen[0])
+        if slow or (since > parts and now <= seen[-1 - parts]):
             discard(ranges)
             return core
         kept = core
