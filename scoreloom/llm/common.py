@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,14 +15,30 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none (tests)."""
+    """The folder that the driver and all executors share, as the session names it; one of its own only where all run in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="scoreloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Lists to which store() adds what it writes, the innermost last.
+_recording: list[list[DataFrame]] = []
+
+
+@contextmanager
+def recorded(made: list[DataFrame]) -> Iterator[None]:
+    """Adds every table that store() makes meanwhile to a list, for discard_all() once nothing reads them."""
+    _recording.append(made)
+    try:
+        yield
+    finally:
+        _recording.pop()
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and rereads it, which cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -28,6 +46,8 @@ def store(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    if _recording:
+        _recording[-1].append(out)
     return out
 
 
@@ -38,6 +58,12 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def discard_all(made: list[DataFrame]) -> None:
+    """Deletes the tables of a list, those deleted before included, and empties it."""
+    while made:
+        discard(made.pop())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

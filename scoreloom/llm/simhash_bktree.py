@@ -112,10 +112,16 @@ class BKTree:
         return found
 
 
-def shard_forest(tree_side: list[int], query_side: list[int] | None, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links inside tree_side, or between it and query_side."""
+def shard_forest(tree_side: list[int], query_side: list[int] | None, radius: int, joined: dict[int, int] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links inside tree_side, or between it and query_side, nearest links first for each value.
+
+    joined gives values that are in one component already the same mark.
+    """
     tree = BKTree()
     root: dict[int, int] = {}
+    firsts: dict[int, int] = {}
+    for value, mark in (joined or {}).items():
+        root[value] = firsts.setdefault(mark, value)
 
     def top(x: int) -> int:
         while root.setdefault(x, x) != x:
@@ -126,8 +132,7 @@ def shard_forest(tree_side: list[int], query_side: list[int] | None, radius: int
     edges = []
 
     def link(x: int) -> None:
-        for n in tree.within(x, radius):
-            y = tree.values[n]
+        for y in sorted((tree.values[n] for n in tree.within(x, radius)), key=lambda y: (x ^ y).bit_count()):
             a, b = top(x), top(y)
             if a != b:
                 root[max(a, b)] = min(a, b)

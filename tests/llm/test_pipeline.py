@@ -5,7 +5,7 @@ import re
 import cases
 import corpus_pipeline
 import pytest
-from test_simhash import brute_components, brute_fingerprint
+from test_near_copies import brute_kept
 from test_tokens import check_packing
 
 from scoreloom.llm import decision_list, naive_bayes_lang, randomness_secrets, residual_packing
@@ -38,12 +38,10 @@ def test_stages_match_plain_python(spark, folder):
     assert sorted(str(r["doc_id"]) for r in told.collect()) == sorted(str(r["doc_id"]) for r in named if r["lang_pred"] != "und" and r["score"] >= 0.5)
     assert told.count() > 0.8 * good.count()
     # Near-duplicates: the least id of each component.
-    rows = sorted(told.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))
-    groups = brute_components(list(range(len(rows))), [brute_fingerprint(r["text"]) for r in rows])
-    want = [rows[k]["doc_id"] for k in sorted(set(groups))]
+    want = brute_kept([(r["doc_id"], r["text"]) for r in told.collect()])
     single = corpus_pipeline.near_duplicates(spark, told, folder).cache()
     assert single.columns == columns
-    assert sorted(map(str, (r["doc_id"] for r in single.collect()))) == sorted(map(str, want))
+    assert sorted(str(r["doc_id"]) for r in single.collect()) == want
     # Secrets: spans cut out of the text.
     spans = {r["doc_id"]: r["spans"] for r in randomness_secrets.op5(single).collect()}
     before = {r["doc_id"]: r for r in single.collect()}
@@ -79,3 +77,9 @@ def test_overlapping_spans_are_masked_once(spark):
     got = {r["doc_id"]: r["text"] for r in randomness_secrets.mask(docs).collect()}
     assert got == {1: 'é [SECRET]" and [SECRET]', 2: None}
     assert re.search("SECRET", got[1])
+
+
+def test_stages_take_empty_tables(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, folder).count() == 0
