@@ -56,3 +56,9 @@ def test_the_rest_works_without_the_training_data_subpackage(tmp_path):
             os.symlink(f"{root}/scoreloom/{name}", tmp_path / "scoreloom" / name)
     code = "import __spark_entry__ as e; assert not e.HAS_LLM and not e.HAS_PIPELINE; q = e.queries(); assert 'loan_view' in q and not any(n.startswith('op1') for n in q); assert set(e.oracle_sql()) <= set(q)"
     assert subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": ""}).returncode == 0
+
+
+def test_core_queries_stay_when_a_dependency_is_missing():
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; q = e.queries(); assert not e.HAS_LLM and 'loan_view' in q and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
+    assert subprocess.run([sys.executable, "-B", "-c", code], cwd=root, capture_output=True).returncode == 0
