@@ -254,11 +254,12 @@ def flow(df: DataFrame, plan_: DataFrame, score: str = "score_mlt") -> DataFrame
 
 def band_decision(bands: DataFrame, plan_: DataFrame) -> DataFrame:
     """Bands with what the plan decides for them; undecided without a plan."""
-    p = plan_.select(F.lit(1).alias("__k"), "status", "auto_pass_band", "manual_review_upper_band")
-    letter = F.col("band")
-    decision = F.when(F.col("status") != "OK", "undecided").when(letter <= F.col("auto_pass_band"), SEGMENTS[0]).when(letter <= F.col("manual_review_upper_band"), SEGMENTS[1]).otherwise(SEGMENTS[2])
+    # A threshold is a band's upper edge, so that the orders of both are the same.
+    p = plan_.select(F.lit(1).alias("__k"), "status", "auto_order", "accept_order")
+    at = F.col("band_order")
+    decision = F.when(F.col("status") != "OK", "undecided").when(at <= F.col("auto_order"), SEGMENTS[0]).when(at <= F.col("accept_order"), SEGMENTS[1]).otherwise(SEGMENTS[2])
     out = bands.withColumn("__k", F.lit(1)).join(F.broadcast(p), "__k").withColumn("estimated_decision", decision)
-    return out.drop("__k", "status", "auto_pass_band", "manual_review_upper_band")
+    return out.drop("__k", "status", "auto_order", "accept_order")
 
 
 def decide(df: DataFrame, auto: float, accept: float, score: str = "score_mlt") -> DataFrame:

@@ -272,19 +272,19 @@ def _(spark, sf_dir):
 @query(
     "wide_table",
     sql(
-        "SELECT l.application_id, l.user_id, f.application_month, s.score_mlt, f.principal, f.status FROM (SELECT application_id, user_id FROM loans WHERE application_id % 5 > 0) l "
-        "LEFT JOIN (SELECT * FROM loans WHERE application_id % 3 > 0) f ON l.application_id = f.application_id AND l.user_id = f.user_id "
-        f"LEFT JOIN (SELECT application_id, score_mlt FROM loans WHERE application_id % 4 > 0) s ON l.application_id = s.application_id "
+        "SELECT l.application_id, l.user_id, f.application_month, s.score_mlt, f.principal, f.status FROM loans l "
+        "LEFT JOIN (SELECT * REPLACE (CASE WHEN application_id % 3 > 0 THEN user_id END AS user_id) FROM loans) f ON l.application_id = f.application_id AND l.user_id = f.user_id "
+        f"LEFT JOIN (SELECT application_id, CASE WHEN application_id % 4 > 0 THEN score_mlt END AS score_mlt FROM loans) s ON l.application_id = s.application_id "
         f"WHERE s.score_mlt IS NOT NULL AND (f.application_status IS NULL OR f.application_status NOT IN ({INCOMPLETE_SQL}))"
     ),
     ["score_mlt"],
 )
 def _(spark, sf_dir):
     df = loans.loan_view(spark, sf_dir)
-    facts = df.filter("application_id % 3 > 0").drop("score_mlt")
-    # Repeated application and score rows are taken once.
-    score = df.filter("application_id % 4 > 0").select("application_id", F.col("score_mlt").cast("string").alias("raw"))
-    got = loans.wide(df.filter("application_id % 5 > 0").select("application_id", "user_id"), facts.unionAll(facts), score.unionAll(score), "raw")
+    # Some facts are without a user and some scores missing; repeated application and score rows are taken once.
+    facts = df.withColumn("user_id", F.when(F.col("application_id") % 3 > 0, F.col("user_id"))).drop("score_mlt")
+    score = df.select("application_id", F.when(F.col("application_id") % 4 > 0, F.col("score_mlt")).cast("string").alias("raw"))
+    got = loans.wide(df.select("application_id", "user_id"), facts.unionAll(facts), score.unionAll(score), "raw")
     return got.scored.select("application_id", "user_id", "application_month", "score_mlt", "principal", "status")
 
 
