@@ -6,6 +6,9 @@ rendering, with its place in the rendered text, so a dialogue of any length stay
 turns are range-sorted, placed within their partition, and moved by the sums of the partitions
 before.
 
+What a turn or a role says cannot open or close a turn: "<|" in it becomes "< |", and a line break in a
+name becomes a blank; places count the text as rendered.
+
 Defined cases: rows without a conv_id belong to no dialogue and give no row; a null or empty role is
 a nameless user and no participant; system roles stay system and are no participants, so a dialogue
 of system turns alone gives no row; a null text is empty; turns are ordered by turn (null first),
@@ -28,13 +31,14 @@ SYSTEM = "system"
 def rotate(turns: DataFrame) -> DataFrame:
     """A row for each turn and participant: rendered text, its span, and the span that is learned."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = turns.filter("conv_id is not null").select("conv_id", "turn", text("role").alias("speaker"), text("text").alias("content"))
+    plain = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
+    rows = turns.filter("conv_id is not null").select("conv_id", "turn", text("role").alias("speaker"), plain(text("text")).alias("content"))
     people = rows.filter(~F.col("speaker").isin("", SYSTEM)).select("conv_id", F.col("speaker").alias("perspective")).distinct()
     head = (
         F.when(F.col("speaker") == F.col("perspective"), F.lit(OPEN + "assistant\n"))
         .when(F.col("speaker") == SYSTEM, F.lit(OPEN + "system\n"))
         .when(F.col("speaker") == "", F.lit(OPEN + "user\n"))
-        .otherwise(F.concat(F.lit(OPEN + "user name="), F.col("speaker"), F.lit("\n")))
+        .otherwise(F.concat(F.lit(OPEN + "user name="), F.translate(plain(F.col("speaker")), "\r\n", "  "), F.lit("\n")))
     )
     order = ["turn", "speaker", "content"]
     seen = (
@@ -77,7 +81,7 @@ def rotate(turns: DataFrame) -> DataFrame:
 
 ORACLE = """
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS speaker, coalesce(text, '') AS content FROM conversations WHERE conv_id IS NOT NULL
+  SELECT conv_id, turn, coalesce(role, '') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS content FROM conversations WHERE conv_id IS NOT NULL
 ), p AS (
   SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker NOT IN ('', 'system')
 ), h AS (
@@ -85,7 +89,7 @@ WITH t AS (
     CASE WHEN speaker = perspective THEN '<|im_start|>assistant' || chr(10)
          WHEN speaker = 'system' THEN '<|im_start|>system' || chr(10)
          WHEN speaker = '' THEN '<|im_start|>user' || chr(10)
-         ELSE '<|im_start|>user name=' || speaker || chr(10) END AS head
+         ELSE '<|im_start|>user name=' || translate(replace(speaker, '<|', '< |'), chr(13) || chr(10), '  ') || chr(10) END AS head
   FROM t JOIN p USING (conv_id)
 ), s AS (
   SELECT *, length(head) + length(content) + 11 AS size FROM h
