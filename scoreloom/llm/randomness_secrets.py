@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and strings that a battery of randomness tests cannot tell from noise.
 
-A candidate is a run of 20 or more characters of common encodings, with a letter and a digit or with
-letters in both cases. Its encoding is the least alphabet that holds it (hexadecimal, base 36, 62,
+A candidate is a run of 20 or more characters of common encodings, with a letter and a digit or with an
+upper-case letter after a lower-case one. Its encoding is the least alphabet that holds it (hexadecimal, base 36, 62,
 64). The battery asks two things about each of its three tests, alphabet uniformity, runs and serial
 dependence.
 
@@ -67,13 +67,13 @@ ALPHABETS = {
 
 def ordinary_pairs(docs: DataFrame) -> dict[str, int]:
     """How often each two characters stand together in the distinct ordinary words of all documents, a blank around each word."""
-    words = F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
-    chars = F.filter(F.split(F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")), ""), lambda c: c != "")
-    # zip_with pads the shorter array with a null, which concat takes on.
-    pairs = F.filter(F.zip_with("chars", F.slice("chars", 2, F.size("chars")), lambda a, b: F.concat(a, b)), lambda x: x.isNotNull())
-    rows = docs.select(words.alias("words")).filter(F.size("words") > 0).select(chars.alias("chars")).select(F.explode(pairs).alias("pair"))
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("word"))
+    # A word is taken apart once, however many documents hold it.
+    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
+    pairs = F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(padded, i, F.lit(2)))
     # At most one row for each two of 67 characters.
-    return {r["pair"]: r["n"] for r in rows.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {r["pair"]: r["n"] for r in counted.select("n", F.explode(pairs).alias("pair")).groupBy("pair").agg(F.sum("n").alias("n")).collect()}
 
 
 def ordinary_bits(pairs: dict[str, int]) -> list[float] | None:
@@ -188,7 +188,7 @@ def scan(docs: DataFrame, bits: list[float] | None, carry: bool = False) -> Data
     assign = bare(F.filter(matches(F.col("text"), ASSIGN, "assign", (2,)), lambda x: F.length(x["g2"]) >= 6))
     access, hexes = (bare(matches(F.col("text"), p, k)) for p, k in ((ACCESS, "access"), (HEX, "hex")))
     when = lambda may, spans: F.when(F.col("text").rlike(may), spans).otherwise(F.array().cast(none))
-    both = lambda x: x["text"].rlike("[A-Za-z]") & (x["text"].rlike("[0-9]") | (x["text"].rlike("[a-z]") & x["text"].rlike("[A-Z]")))
+    both = lambda x: x["text"].rlike("[A-Za-z]") & x["text"].rlike("[0-9]|[a-z][A-Z]")
 
     def parts(x: Column) -> Column:
         """What no base span covers of a run, in pieces that are candidates themselves."""
