@@ -80,3 +80,8 @@ def matches(text: Column, pattern: str, kind: str, groups: tuple[int, ...] = ())
     if not groups:
         return let(F.split(text, pattern, -1), lambda c: let(found, lambda m: body(c, m, [])))
     return let(F.split(text, pattern, -1), lambda c: let(found, lambda m: let(inner[0], lambda g: body(c, m, [g]))))
+
+
+#: DuckDB has no crc32: its 256 table entries from the polynomial, and the unsigned value of a text of ASCII characters.
+CRC_TABLE_SQL = "SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, [1, 2, 3, 4, 5, 6, 7, 8]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc_entries"
+CRC32_SQL = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all({0}, '.'), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(crc_entries[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"

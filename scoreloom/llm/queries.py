@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import brown_lm, common, decision_list, naive_bayes_lang, norm_buckets, pair_index_bpe, perspective_chat, randomness_secrets, residual_packing, simhash_bktree, zstd_toxicity
+from scoreloom.llm import brown_lm, common, decision_list, merkle_manifest, naive_bayes_lang, norm_buckets, pair_index_bpe, perspective_chat, randomness_secrets, residual_packing, simhash_bktree, zstd_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash_bktree")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bktree.op10(common.table(spark, sf_dir, "documents"))
+
+
+@query("op13_merkle_manifest", merkle_manifest.ORACLE)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.op13(common.table(spark, sf_dir, "documents"))
