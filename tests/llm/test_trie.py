@@ -68,7 +68,7 @@ def test_matches_brute_force(spark, monkeypatch, seed, block):
 def test_odd_conversations(spark, monkeypatch):
     monkeypatch.setattr(pt, "LEAST_BLOCK", 16)
     same = [(c, t, "user", f"turn {t}") for c in range(1000, 1200) for t in range(3)]
-    long = [(7, t, "user", "word " * (t % 5)) for t in range(3000)] + [(8, t, "user", "word " * (t % 5)) for t in range(2000)]
+    long = [(7, t, "user", "word " * (t % 5)) for t in range(200)] + [(8, t, "user", "word " * (t % 5)) for t in range(120)]
     odd = [(None, 1, "user", "x"), (40, None, None, None), (40, None, "user", "late"), (40, 3, "user", None), (40, 3, "user", None), (41, 1, "", ""), (1201, 0, "user", "x" * 2_000_000), (-25, 0, "u", "b"), (-20, 0, "u", "lent"), (3, 5, "user:", "a"), (4, 5, "user", ":a")]
     assert run(spark, same + long + odd) == brute(same + long + odd)
     assert run(spark, [(5, 0, "u", "x")]) == brute([(5, 0, "u", "x")])
