@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import brown_lm, common, decision_list, merkle_manifest, naive_bayes_lang, norm_buckets, pair_index_bpe, perspective_chat, prefix_trie, randomness_secrets, residual_packing, simhash_bktree, zstd_toxicity
+from scoreloom.llm import brown_lm, common, cover_tree, decision_list, merkle_manifest, naive_bayes_lang, norm_buckets, pair_index_bpe, perspective_chat, prefix_trie, randomness_secrets, residual_packing, simhash_bktree, zstd_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,6 +78,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.op11(common.table(spark, sf_dir, "conversations"))
 
 
+@query("op12_cover_tree", cover_tree.ORACLE)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.op12(common.table(spark, sf_dir, "embeddings"))
+
+
 @query("op13_merkle_manifest", merkle_manifest.ORACLE)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.op13(common.table(spark, sf_dir, "documents"))
