@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import logging
 import time
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -161,15 +163,25 @@ class Run:
         return self.applications.sparkSession.createDataFrame(rows, fields)
 
 
-def search_many(bin_sums: DataFrame, by: str, settings: Settings = Settings()) -> DataFrame:
-    """The chosen ranges for each of many models: (by, ranges); a group is one model's few dozen bins."""
-    kind = dict(bin_sums.dtypes)[by]
+#: What search_states() tells of each state of a search.
+STATES = "step_no int, stage string, ranges string, selected boolean, hard_constraints_ok boolean, primary_inversion_cnt int, all_inversion_cnt int, constraint_violation_cnt int, extreme_cut_violation_cnt int, primary_iv_retention double, least_adjacent_rate_diff double, candidate_score double"
+
 
-    def one(key, frame):
-        import pandas as pd
+def search_states(bin_sums: DataFrame, by: Sequence[str], settings: Settings = Settings()) -> DataFrame:
+    """Every state that the search of each of many models scores; a group is one model's few dozen bins."""
+    by = list(by)
+    kinds = dict(bin_sums.dtypes)
 
+    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         rows = frame.sort_values("bin_order").to_dict("records")
         found = search.search(rows, settings.policy, settings.search)
-        return pd.DataFrame({by: [key[0]], "ranges": [search.text_of(found.ranges)], "hard_ok": [bool(found.candidates[0].hard_ok)]})
+        told = [(*key, c.step, c.stage, search.text_of(c.ranges), c.selected, c.hard_ok, c.primary_inversions, c.all_inversions, c.violations, c.crossed, c.retention, c.separation, c.score) for c in found.candidates]
+        return pd.DataFrame(told, columns=[*by, *(x.split()[0] for x in STATES.split(", "))])
+
+    fields = ", ".join(f"`{c}` {kinds[c]}" for c in by)
+    return bin_sums.select(*by, "bin_order", *search.SUMMED).groupBy(*by).applyInPandas(one, f"{fields}, {STATES}")
 
-    return bin_sums.select(by, "bin_order", *search.SUMMED).groupBy(by).applyInPandas(one, f"`{by}` {kind}, ranges string, hard_ok boolean")
+
+def search_many(bin_sums: DataFrame, by: str, settings: Settings = Settings()) -> DataFrame:
+    """The chosen ranges for each of many models: (by, ranges, hard_ok)."""
+    return search_states(bin_sums, [by], settings).filter("selected").select(by, "ranges", F.col("hard_constraints_ok").alias("hard_ok"))

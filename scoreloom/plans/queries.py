@@ -754,6 +754,10 @@ def _(spark, sf_dir):
     return report.online_rules(spark)
 
 
+# Registers what it holds in the same tables.
+from scoreloom.plans import model_queries  # noqa: E402, F401
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The performance table of the training bins."""
     return QUERIES["initial_bin_stats"](spark, sf_dir)

@@ -64,8 +64,13 @@ FROM (
 """
 
 
-def loan_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(LOANS_SQL, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+def segmented_sql(segment: str) -> str:
+    """LOANS_SQL with a column segment, an expression over orders."""
+    return LOANS_SQL.replace("  SELECT o_orderkey AS application_id,", f"  SELECT {segment} AS segment, o_orderkey AS application_id,")
+
+
+def loan_view(spark: SparkSession, sf_dir: str, segment: str | None = None) -> DataFrame:
+    return spark.sql(segmented_sql(segment) if segment else LOANS_SQL, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
 
 
 def clean_names(df: DataFrame) -> DataFrame:
