@@ -40,6 +40,8 @@ LEAST_COSINE = 0.98
 SHARD = 1024
 #: Points that a cell's centres are chosen from, and centres at most.
 CANDIDATES, CENTRES = 256, 64
+#: Parts in which the rows of a cell meet figures of the cell, so that a large one is in as many tasks.
+SPREAD = 32
 #: Rounds of division, after which a cell is dealt out in parts that all meet.
 ROUNDS = 12
 #: Points up to which a node is not divided, and what bounds give away to rounding: a distance near 0 is off by up to 4e-8.
@@ -275,6 +277,12 @@ def _divided(rows: DataFrame, k: int, cosine: float) -> DataFrame:
     return rows.groupBy("cell", "part").cogroup(dealt.groupBy("cell", "part")).applyInPandas(lambda a, b: assign(a, b), CELL)
 
 
+def _told(rows: DataFrame, figures: DataFrame) -> DataFrame:
+    """rows with the figures of their cell, joined in SPREAD parts."""
+    copies = figures.withColumn("spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return rows.withColumn("spread", F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int")).join(copies, ["cell", "spread"]).drop("spread")
+
+
 def shards(points: DataFrame, cosine: float = LEAST_COSINE) -> DataFrame:
     """Rows of cells that are small, tight or were divided often enough, with members, visitors and tight of their cell."""
     far = reach(cosine)
@@ -283,10 +291,10 @@ def shards(points: DataFrame, cosine: float = LEAST_COSINE) -> DataFrame:
     for k in range(ROUNDS + 1):
         stats = rows.groupBy("cell").agg(F.count_if("home").alias("members"), F.max(F.when(F.col("home"), F.col("far"))).alias("radius"))
         # A visitor out of reach of all members leaves; a cell without members has no pairs.
-        met = rows.join(stats.filter("members > 0"), "cell").filter(F.col("home") | (F.col("far") <= F.col("radius") + far + SLACK))
+        met = _told(rows, stats.filter("members > 0")).filter(F.col("home") | (F.col("far") <= F.col("radius") + far + SLACK))
         present = met.groupBy("cell").agg(F.count(F.lit(1)).alias("present"))
         tight = F.coalesce(2 * F.col("radius") <= far - SLACK, F.lit(False))
-        met = store(met.join(present, "cell").withColumn("tight", tight), "met")
+        met = store(_told(met, present).withColumn("tight", tight), "met")
         large = (F.col("members") > SHARD) & ~F.col("tight") if k < ROUNDS else F.lit(False)
         small = met.filter(~large)
         done = small if done is None else done.unionByName(small)
@@ -329,7 +337,7 @@ def links(points: DataFrame, cosine: float = LEAST_COSINE) -> DataFrame:
     # In a tight cell all points link.
     tight = rows.filter("home and tight")
     whole = tight.groupBy("cell").agg(F.sum("weight").alias("mass"), F.min("node").alias("root"))
-    return found.unionByName(tight.join(whole, "cell").select("node", (F.col("mass") - F.col("weight")).alias("links"), "root").filter("links > 0"))
+    return found.unionByName(_told(tight, whole).select("node", (F.col("mass") - F.col("weight")).alias("links"), "root").filter("links > 0"))
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = LEAST_COSINE) -> DataFrame:
