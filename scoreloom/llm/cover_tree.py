@@ -138,8 +138,9 @@ class Links:
             mass = self.weight[u] - self.weight[t]
             np.add.at(self.added, s, mass)
             np.add.at(self.added, e, -mass)
-        for s, e in {*zip(a.tolist(), a_end.tolist()), *zip(b.tolist(), b_end.tolist())} - self.whole:
-            if e - s > 1:
+        stretches = np.concatenate([np.stack([x, y], 1)[y - x > 1] for x, y in ((a, a_end), (b, b_end))])
+        for s, e in map(tuple, np.unique(stretches, axis=0).tolist()):
+            if (s, e) not in self.whole:
                 self.whole.add((s, e))
                 self.join(np.arange(s + 1, e), np.full(e - s - 1, s))
         self.join(a, b)
