@@ -79,14 +79,15 @@ def additive() -> list[Column]:
 ADDITIVE = ("n", "principal_amt", *(f"{h.name}_{m}" for h in HORIZONS for m in ("cnt_mature", "cnt_bad", "amt_exposure", "amt_bad")))
 
 
-def steps(value: Column, cuts: Sequence[float]) -> Column:
-    """How many of the ascending cuts lie below value, by halving."""
+def steps(value: Column, cuts: Sequence[float], at_too: bool = False) -> Column:
+    """How many of the ascending cuts lie below value, or at it if at_too, by halving."""
 
     def tree(low: int, high: int) -> Column:
         if low == high:
             return F.lit(low)
         middle = (low + high) // 2
-        return F.when(value > F.lit(float(cuts[middle])), tree(middle + 1, high)).otherwise(tree(low, middle))
+        cut = F.lit(float(cuts[middle]))
+        return F.when(value >= cut if at_too else value > cut, tree(middle + 1, high)).otherwise(tree(low, middle))
 
     return tree(0, len(cuts))
 

@@ -7,16 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreloom.functions.columns import ADDITIVE, Ranges, additive, band_letter, band_order, bin_label, bucket, extreme_role, ratio, source_text, wilson
+from scoreloom.functions.columns import ADDITIVE, Ranges, additive, band_letter, band_order, bin_label, extreme_role, ratio, source_text, wilson
+from scoreloom.functions.ordering import RISING, Ordering
 from scoreloom.operators.quantiles import edge_table
 from scoreloom.settings import HORIZONS, Search
 
 NAMES = tuple(h.name for h in HORIZONS)
 
 
-def with_bins(df: DataFrame, edges: Sequence[float], score: str = "score_mlt") -> DataFrame:
+def with_bins(df: DataFrame, edges: Sequence[float], score: str = "score_mlt", ordering: Ordering = RISING) -> DataFrame:
     """Adds bin_order and bin; a null score has neither."""
-    return df.withColumn("bin_order", bucket(score, edges)).withColumn("bin", bin_label("bin_order"))
+    return df.withColumn("bin_order", ordering.bucket(score, edges)).withColumn("bin", bin_label("bin_order"))
 
 
 def with_bands(df: DataFrame, ranges: Ranges) -> DataFrame:
@@ -32,10 +33,10 @@ def sums(df: DataFrame, *by: str, score: str = "score_mlt") -> DataFrame:
     )
 
 
-def derived(stats: DataFrame, order: str, by: Sequence[str] = ()) -> DataFrame:
-    """Adds good counts, shares, rates, intervals and running totals in order within by."""
+def derived(stats: DataFrame, order: str, by: Sequence[str] = (), ordering: Ordering = RISING) -> DataFrame:
+    """Adds good counts, shares, rates, intervals and running totals from safe to risky within by."""
     whole = Window.partitionBy(*by)
-    up_to = whole.orderBy(F.asc_nulls_last(order)).rowsBetween(Window.unboundedPreceding, 0)
+    up_to = ordering.window(order, *by).rowsBetween(Window.unboundedPreceding, 0)
     summed = ["n", *(f"{m}_{c}" for m in NAMES for c in ("cnt_mature", "cnt_bad", "amt_exposure", "amt_bad"))]
     running = {"total_n": F.sum("n").over(whole), **{f"cum_{c}": F.sum(c).over(up_to) for c in summed}}
     shares = {"sample_pct": ratio("n", "total_n"), "cum_pass_rate": ratio("cum_n", "total_n")}
@@ -57,9 +58,9 @@ def rates(prefix: str) -> dict[str, Column]:
     return out
 
 
-def bin_stats(binned: DataFrame) -> DataFrame:
+def bin_stats(binned: DataFrame, ordering: Ordering = RISING) -> DataFrame:
     """Every bin, the one without a score too."""
-    return derived(sums(binned, "bin_order", "bin"), "bin_order")
+    return derived(sums(binned, "bin_order", "bin"), "bin_order", ordering=ordering)
 
 
 def dense_bin_sums(binned: DataFrame, edges: Sequence[float]) -> DataFrame:
@@ -70,8 +71,8 @@ def dense_bin_sums(binned: DataFrame, edges: Sequence[float]) -> DataFrame:
     return joined.withColumns({c: F.coalesce(c, F.lit(0).cast(found.schema[c].dataType)) for c in (*ADDITIVE, "score_sum", "score_n")})
 
 
-def dense_bin_stats(binned: DataFrame, edges: Sequence[float]) -> DataFrame:
-    return derived(dense_bin_sums(binned, edges), "bin_order")
+def dense_bin_stats(binned: DataFrame, edges: Sequence[float], ordering: Ordering = RISING) -> DataFrame:
+    return derived(dense_bin_sums(binned, edges), "bin_order", ordering=ordering)
 
 
 def regroup_sums(bin_sums: DataFrame, ranges: Ranges) -> DataFrame:
@@ -84,13 +85,13 @@ def regroup_sums(bin_sums: DataFrame, ranges: Ranges) -> DataFrame:
     return out.withColumn("merged_from", source_text(F.col("first_bin"), F.col("last_bin")))
 
 
-def regroup(bin_sums: DataFrame, ranges: Ranges) -> DataFrame:
+def regroup(bin_sums: DataFrame, ranges: Ranges, ordering: Ordering = RISING) -> DataFrame:
     """Band statistics from bin sums."""
-    return derived(regroup_sums(bin_sums, ranges), "band_order")
+    return derived(regroup_sums(bin_sums, ranges), "band_order", ordering=ordering)
 
 
-def band_stats(banded: DataFrame) -> DataFrame:
-    return derived(sums(banded, "band_order", "band"), "band_order")
+def band_stats(banded: DataFrame, ordering: Ordering = RISING) -> DataFrame:
+    return derived(sums(banded, "band_order", "band"), "band_order", ordering=ordering)
 
 
 def band_map(spark, ranges: Ranges) -> DataFrame:
@@ -115,10 +116,10 @@ def band_edges(edges: DataFrame, ranges: Ranges, search: Search = Search()) -> D
     return out.withColumns({"merged_from": source_text(first, last), "extreme_role": role})
 
 
-def diagnostics(stats: DataFrame, order: str, smoothing: float = 0.5) -> DataFrame:
+def diagnostics(stats: DataFrame, order: str, smoothing: float = 0.5, ordering: Ordering = RISING) -> DataFrame:
     """Adds smoothed class shares, weight of evidence, IV parts, IV, and the KS curve from the risky end."""
     whole = Window.partitionBy()
-    down = whole.orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    down = ordering.window(order).rowsBetween(0, Window.unboundedFollowing)
     shares, woe, parts, totals = {}, {}, {}, {}
     for m in NAMES:
         sums_ = {side: F.sum(f"{m}_cnt_{side}").over(whole) for side in ("bad", "good")}
@@ -136,8 +137,8 @@ def diagnostics(stats: DataFrame, order: str, smoothing: float = 0.5) -> DataFra
 
 
 def process_table(bin_stats_: DataFrame, ranges: Ranges, search: Search = Search()) -> DataFrame:
-    """Initial bins with rate changes, inversions, the band they went to and how."""
-    w = Window.orderBy("bin_order")
+    """Initial bins with rate changes from safe to risky, inversions, the band they went to and how."""
+    w = Ordering(search.high_is_bad).window("bin_order")
     out = with_bands(bin_stats_, ranges)
     spans = F.broadcast(band_map(bin_stats_.sparkSession, ranges).select("bin_order", "merged_from"))
     out = out.join(spans, "bin_order", "left")

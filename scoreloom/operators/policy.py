@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions.columns import additive, ratio
+from scoreloom.functions.ordering import RISING, Ordering
 from scoreloom.operators.bands import NAMES, rates
 from scoreloom.settings import Limits, Policy
 
@@ -25,16 +26,15 @@ def _with_rates(df: DataFrame, prefix: str) -> DataFrame:
     )
 
 
-def curve(bands: DataFrame) -> DataFrame:
-    """What passes at each band's right edge: all up to it, and the band alone.
+def curve(bands: DataFrame, ordering: Ordering = RISING) -> DataFrame:
+    """What passes at each band's risky edge: all on the safe side of it, and the band alone.
 
     bands has a row for each band of the training sample, as made by regroup_sums(); the last threshold is
-    the highest training score. A threshold is a band's edge, so running sums over bands are exact.
+    the riskiest training score. A threshold is a band's edge, so running sums over bands are exact.
     """
-    order = Window.orderBy("band_order")
+    order = ordering.window("band_order")
     up_to, whole = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    top = F.max("score_max").over(whole)
-    t = bands.withColumn("threshold", F.when(F.col("score_right") == float("inf"), top).otherwise(F.col("score_right"))).filter("threshold is not null")
+    t = bands.withColumn("threshold", ordering.threshold(whole)).filter("threshold is not null")
     out = t.select(
         F.row_number().over(order).alias("threshold_order"),
         "threshold",
@@ -188,21 +188,24 @@ def sensitivity(curve_: DataFrame, plan_: DataFrame) -> DataFrame:
 SEGMENTS = ("auto_pass", "manual_review", "reject")
 
 
-def segment_of(score: Column, auto: Column, accept: Column) -> Column:
-    """auto_pass up to and with the automatic threshold, manual_review up to and with the acceptance one, else reject."""
-    return F.when(score <= auto, SEGMENTS[0]).when(score <= accept, SEGMENTS[1]).when(score.isNotNull(), SEGMENTS[2])
+def segment_of(score: Column, auto: Column, accept: Column, ordering: Ordering = RISING) -> Column:
+    """auto_pass on the safe side of and at the automatic threshold, manual_review so at the acceptance one, else reject."""
+    return F.when(ordering.passes(score, auto), SEGMENTS[0]).when(ordering.passes(score, accept), SEGMENTS[1]).when(score.isNotNull(), SEGMENTS[2])
 
 
-def _placed(df: DataFrame, plan_: DataFrame, score: str) -> DataFrame:
+def _placed(df: DataFrame, plan_: DataFrame, score: str, ordering: Ordering) -> DataFrame:
     """Rows with the plan's thresholds and their segment; none without a plan. The plan is one row."""
     p = plan_.filter("status = 'OK'").select(F.lit(1).alias("__k"), "strategy_name", "auto_pass_threshold", "reject_threshold")
     out = df.withColumn("__k", F.lit(1)).join(F.broadcast(p), "__k").drop("__k")
-    return out.withColumn("decision", segment_of(F.col(score), F.col("auto_pass_threshold"), F.col("reject_threshold")))
+    return out.withColumn("decision", segment_of(F.col(score), F.col("auto_pass_threshold"), F.col("reject_threshold"), ordering))
 
 
-def segments(df: DataFrame, plan_: DataFrame, score: str = "score_mlt") -> DataFrame:
-    """Portfolio figures of the three segments in both samples; a segment without rows has zeros."""
-    rows = _placed(df.filter(F.col("sample_group").isin("train", "oot")), plan_, score)
+def segments(df: DataFrame, plan_: DataFrame, score: str = "score_mlt", ordering: Ordering = RISING) -> DataFrame:
+    """Portfolio figures of the three segments in both samples; a segment without rows has zeros.
+
+    The exclusive bound is the one on the safe side, the inclusive one that on the risky side.
+    """
+    rows = _placed(df.filter(F.col("sample_group").isin("train", "oot")), plan_, score, ordering)
     found = rows.groupBy("sample_group", "decision").agg(F.count(F.lit(1)).alias("n"), *additive()[1:])
     every = F.explode(F.array(*[F.struct(F.lit(g).alias("sample_group"), F.lit(s).alias("decision")) for g in ("train", "oot") for s in SEGMENTS]))
     frame = plan_.filter("status = 'OK'").select("strategy_name", "auto_pass_threshold", "reject_threshold", every.alias("e")).select("e.*", "strategy_name", "auto_pass_threshold", "reject_threshold")
@@ -225,9 +228,9 @@ def segments(df: DataFrame, plan_: DataFrame, score: str = "score_mlt") -> DataF
     )
 
 
-def flow(df: DataFrame, plan_: DataFrame, score: str = "score_mlt") -> DataFrame:
+def flow(df: DataFrame, plan_: DataFrame, score: str = "score_mlt", ordering: Ordering = RISING) -> DataFrame:
     """Distinct applications by decision in Train, OOT and both; accepted is automatic plus manual."""
-    rows = _placed(df.filter(F.col("sample_group").isin("train", "oot") & F.col(score).isNotNull() & F.col("application_id").isNotNull()), plan_, score)
+    rows = _placed(df.filter(F.col("sample_group").isin("train", "oot") & F.col(score).isNotNull() & F.col("application_id").isNotNull()), plan_, score, ordering)
     keys = ["auto_pass_threshold", "reject_threshold"]
     test = {"Train": F.col("sample_group") == "train", "OOT": F.col("sample_group") == "oot", "All": F.lit(True)}
     flags = {f"{g}_{s}": c if s == "total" else c & (F.col("decision") == s) for g, c in test.items() for s in ("total", *SEGMENTS)}
@@ -252,20 +255,20 @@ def flow(df: DataFrame, plan_: DataFrame, score: str = "score_mlt") -> DataFrame
     )
 
 
-def band_decision(bands: DataFrame, plan_: DataFrame) -> DataFrame:
+def band_decision(bands: DataFrame, plan_: DataFrame, ordering: Ordering = RISING) -> DataFrame:
     """Bands with what the plan decides for them; undecided without a plan."""
-    # A threshold is a band's upper edge, so that the orders of both are the same.
+    # A threshold is a band's risky edge, so that the orders of both are the same.
     p = plan_.select(F.lit(1).alias("__k"), "status", "auto_order", "accept_order")
-    at = F.col("band_order")
+    bands, at = bands.withColumn("__at", ordering.place("band_order")), F.col("__at")
     decision = F.when(F.col("status") != "OK", "undecided").when(at <= F.col("auto_order"), SEGMENTS[0]).when(at <= F.col("accept_order"), SEGMENTS[1]).otherwise(SEGMENTS[2])
     out = bands.withColumn("__k", F.lit(1)).join(F.broadcast(p), "__k").withColumn("estimated_decision", decision)
-    return out.drop("__k", "status", "auto_order", "accept_order")
+    return out.drop("__k", "__at", "status", "auto_order", "accept_order")
 
 
-def decide(df: DataFrame, auto: float, accept: float, score: str = "score_mlt") -> DataFrame:
+def decide(df: DataFrame, auto: float, accept: float, score: str = "score_mlt", ordering: Ordering = RISING) -> DataFrame:
     """Online rules as an expression: a missing, NaN or infinite score is rejected; then the segments."""
     s = F.col(score)
     usable = s.isNotNull() & ~F.isnan(s) & (F.abs(s) != float("inf"))
-    return df.withColumn("decision", F.when(usable, segment_of(s, F.lit(auto), F.lit(accept))).otherwise(SEGMENTS[2]))
+    return df.withColumn("decision", F.when(usable, segment_of(s, F.lit(auto), F.lit(accept), ordering)).otherwise(SEGMENTS[2]))
 
 __all__ = [n for n in dir() if not n.startswith("_") and n not in ("HORIZONS", "band_letter")]

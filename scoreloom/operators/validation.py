@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions.columns import ratio
-from scoreloom.operators.bands import NAMES, derived, oriented, sums
+from scoreloom.functions.ordering import RISING, Ordering
+from scoreloom.operators.bands import NAMES, derived, sums
 from scoreloom.operators.quantiles import rough_cuts, stretch
 from scoreloom.settings import HORIZONS
 
@@ -110,9 +111,9 @@ def psi_of_shares(base: DataFrame, other: DataFrame, key: str, floor: float = 1e
 RATES = tuple(f"{m}_{c}_bad_rate" for m in NAMES for c in ("cnt", "amt"))
 
 
-def monotonicity(stats: DataFrame, order: str = "band_order", rates: Sequence[str] = RATES, by: str = "sample_group") -> DataFrame:
-    """Per sample and rate: whether it never falls, how often it does, and at which bands."""
-    w = Window.partitionBy(by).orderBy(order)
+def monotonicity(stats: DataFrame, order: str = "band_order", rates: Sequence[str] = RATES, by: str = "sample_group", ordering: Ordering = RISING) -> DataFrame:
+    """Per sample and rate: whether it never falls from safe to risky, how often it does, and at which bands."""
+    w = ordering.window(order, by)
     checked = stats.filter(F.col(order).isNotNull()).select(by, order, *[F.coalesce(F.col(r) - F.lag(r).over(w) < 0, F.lit(False)).alias(r) for r in rates])
     tall = checked.select(by, order, F.explode(F.array(*[F.struct(F.lit(r).alias("metric"), F.col(r).alias("falls")) for r in rates])).alias("x"))
     out = tall.groupBy(by, "x.metric").agg(
@@ -122,13 +123,13 @@ def monotonicity(stats: DataFrame, order: str = "band_order", rates: Sequence[st
     return out.withColumn("is_monotonic", F.col("violation_cnt") == 0)
 
 
-def monthly(banded: DataFrame, tolerance: float = 0.003, high_is_bad: bool = True) -> DataFrame:
+def monthly(banded: DataFrame, tolerance: float = 0.003, ordering: Ordering = RISING) -> DataFrame:
     """Band statistics of each month; shares and running totals stay within the month."""
     rows = banded.filter(F.col("sample_group").isin("train", "oot") & F.col("application_month").isNotNull() & F.col("band_order").isNotNull())
     by = ["sample_group", "application_month"]
-    out = derived(sums(rows, *by, "band_order", "band"), "band_order", by)
-    rate = oriented("m3_cnt_bad_rate", high_is_bad)
-    out = out.withColumn("primary_rate_diff_prev", rate - F.lag(rate).over(Window.partitionBy(*by).orderBy("band_order")))
+    out = derived(sums(rows, *by, "band_order", "band"), "band_order", by, ordering)
+    rate = F.col("m3_cnt_bad_rate")
+    out = out.withColumn("primary_rate_diff_prev", rate - F.lag(rate).over(ordering.window("band_order", *by)))
     return out.withColumn("primary_inversion_flag", F.coalesce(F.col("primary_rate_diff_prev") < -tolerance, F.lit(False)))
 
 

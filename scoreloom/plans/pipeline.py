@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoreloom.functions import contracts
+from scoreloom.functions.ordering import Ordering
 from scoreloom.operators import bands, funnel, policy, quantiles, samples, validation
 from scoreloom.plans import search
 from scoreloom.settings import Settings
@@ -50,6 +52,10 @@ class Run:
         log.info("%s: %.1f s", what, time.time() - began)
         return out
 
+    @cached_property
+    def ordering(self) -> Ordering:
+        return Ordering(self.settings.search.high_is_bad)
+
     @cached_property
     def completed(self) -> DataFrame:
         """Finished applications with their sample group, scored or not."""
@@ -74,7 +80,7 @@ class Run:
 
     @cached_property
     def binned(self) -> DataFrame:
-        return bands.with_bins(self.scored, self.edges)
+        return bands.with_bins(self.scored, self.edges, ordering=self.ordering)
 
     @cached_property
     def train_sums(self) -> DataFrame:
@@ -97,7 +103,7 @@ class Run:
 
     @cached_property
     def train_bands(self) -> DataFrame:
-        return bands.regroup(self.train_sums, self.ranges)
+        return bands.regroup(self.train_sums, self.ranges, self.ordering)
 
     @cached_property
     def band_edges(self) -> DataFrame:
@@ -105,17 +111,17 @@ class Run:
 
     def sample_bands(self, group: str) -> DataFrame:
         """Band statistics of one sample, with the bands' edges."""
-        stats = bands.band_stats(self.banded.filter(F.col("sample_group") == group)).withColumn("sample_group", F.lit(group))
+        stats = bands.band_stats(self.banded.filter(F.col("sample_group") == group), self.ordering).withColumn("sample_group", F.lit(group))
         return stats.join(F.broadcast(self.band_edges.select("band_order", "score_left", "score_right", "merged_from", "extreme_role")), "band_order", "left")
 
     @cached_property
     def both_bands(self) -> DataFrame:
         rows = self.banded.filter(F.col("sample_group").isin("train", "oot"))
-        return bands.derived(bands.sums(rows, "sample_group", "band_order", "band"), "band_order", ["sample_group"])
+        return bands.derived(bands.sums(rows, "sample_group", "band_order", "band"), "band_order", ["sample_group"], self.ordering)
 
     @cached_property
     def curve(self) -> DataFrame:
-        return small(policy.curve(bands.regroup_sums(self.train_sums, self.ranges)), MOST_BINS)
+        return small(policy.curve(bands.regroup_sums(self.train_sums, self.ranges), self.ordering), MOST_BINS)
 
     @cached_property
     def plan(self) -> DataFrame:
@@ -131,17 +137,28 @@ class Run:
 
     @cached_property
     def monthly(self) -> DataFrame:
-        return validation.monthly(self.banded, self.settings.monthly_tolerance, self.settings.search.high_is_bad)
+        return validation.monthly(self.banded, self.settings.monthly_tolerance, self.ordering)
 
     def enriched(self, group: str) -> DataFrame:
-        """Bands of a sample with diagnostics, funnel, stability and decision; a band twice in the funnel fails."""
-        stats = bands.diagnostics(self.sample_bands(group), "band_order", self.settings.search.smoothing)
+        """Bands of a sample with diagnostics, funnel, stability and decision; a band twice on either side of the funnel, or twice in the stability, fails."""
+        stats = bands.diagnostics(self.sample_bands(group), "band_order", self.settings.search.smoothing, self.ordering)
         steps = funnel.by_band(self.banded.filter(F.col("sample_group") == group)).drop("band")
         drift = self.psi.select("band_order", F.col("psi_component").alias("train_oot_psi_component"), F.col("psi_total").alias("train_oot_psi_total"))
-        out = stats.join(steps, "band_order", "left").join(F.broadcast(drift), "band_order", "left")
-        out = policy.band_decision(out, self.plan)
+        out = contracts.one_to_one(stats, steps, ["band_order"], "band funnel")
+        out = contracts.many_to_one(out, drift, ["band_order"], "band stability")
+        out = policy.band_decision(out, self.plan, self.ordering)
         return out.withColumns({"estimated_band_flow_rate": F.col("sample_pct"), "estimated_cumulative_flow_rate": F.col("cum_pass_rate")})
 
+    def band_report(self) -> DataFrame:
+        """Bands of both samples, with what the plan does to each sample as a whole and how well the score ranks it."""
+        rows = self.enriched("train").unionByName(self.enriched("oot"))
+        flow = policy.flow(self.scored, self.plan, ordering=self.ordering).withColumn("sample_group", F.lower("sample_group"))
+        overall = flow.select("sample_group", *[F.col(f"estimated_{r}_rate").alias(f"estimated_overall_{r}_rate") for r in ("auto_pass", "manual_review", "total_accept", "reject")])
+        ranked = validation.performance_wide(self.performance)
+        ranked = ranked.select("sample_group", *[F.col(c).alias(f"overall_{c}") for c in ranked.columns if c != "sample_group"])
+        out = contracts.many_to_one(rows, overall, ["sample_group"], "overall flow")
+        return headline(contracts.many_to_one(out, ranked, ["sample_group"], "overall ranking"), HEADLINE)
+
     def candidates(self) -> DataFrame:
         """Every state of the search with its scores, the chosen one marked."""
         fields = "selected boolean, step_no int, stage string, merge_reason string, hard_constraints_ok boolean, eligible_band_count boolean, band_count int, ranges string, primary_inversion_cnt int, all_inversion_cnt int, constraint_violation_cnt int, extreme_cut_violation_cnt int, least_sample_pct double, least_mature_count double, least_bad_count double, least_good_count double, primary_iv double, primary_iv_retention double, least_adjacent_rate_diff double, candidate_score double, target_band_distance int"
@@ -163,6 +180,16 @@ class Run:
         return self.applications.sparkSession.createDataFrame(rows, fields)
 
 
+#: What a reader of bands looks for first.
+HEADLINE = ("sample_group", "band_order", "band", "score_left", "score_right", "n", "sample_pct", "cum_pass_rate", "estimated_decision", "estimated_band_flow_rate", "m3_cnt_bad_rate", "m1_cnt_bad_rate", "m3_amt_bad_rate", "m1_amt_bad_rate")
+
+
+def headline(df: DataFrame, first: Sequence[str]) -> DataFrame:
+    """The columns named first that df has, in that order, then the others as they are."""
+    head = [c for c in first if c in df.columns]
+    return df.select(*head, *[c for c in df.columns if c not in head])
+
+
 #: What search_states() tells of each state of a search.
 STATES = "step_no int, stage string, ranges string, selected boolean, hard_constraints_ok boolean, primary_inversion_cnt int, all_inversion_cnt int, constraint_violation_cnt int, extreme_cut_violation_cnt int, primary_iv_retention double, least_adjacent_rate_diff double, candidate_score double"
 

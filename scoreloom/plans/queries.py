@@ -683,29 +683,48 @@ def _(spark, sf_dir):
     return policy.flow(run.scored, run.plan)
 
 
-ENRICHED = ["band_order", "band", "n", "sample_pct", "merged_from", "extreme_role", "score_left", "score_right", *PLAIN_RATES, *DIAGNOSED, "actual_apply_cnt", *FUNNEL_DOUBLES, "train_oot_psi_component", "train_oot_psi_total", "estimated_decision", "estimated_band_flow_rate", "estimated_cumulative_flow_rate"]
-
-
-@query(
-    "band_decision",
-    sql(
+def enriched_sql(group: str) -> str:
+    """The bands of a sample; needs PLAN_PARTS, both_bands and band_edge in front."""
+    return (
         "SELECT d.band_order, d.band, d.n, d.sample_pct, e.merged_from, e.extreme_role, e.score_left, e.score_right, "
         + ", ".join(f"d.{c}" for c in [*PLAIN_RATES, *DIAGNOSED])
         + ", f.actual_apply_cnt, "
         + ", ".join(f"f.{c}" for c in FUNNEL_DOUBLES)
         + ", s.psi_component AS train_oot_psi_component, s.psi_total AS train_oot_psi_total, CASE WHEN p.status <> 'OK' THEN 'undecided' WHEN d.band <= p.auto_pass_band THEN 'auto_pass' WHEN d.band <= p.manual_review_upper_band THEN 'manual_review' ELSE 'reject' END AS estimated_decision, d.sample_pct AS estimated_band_flow_rate, d.cum_pass_rate AS estimated_cumulative_flow_rate FROM ("
-        + diagnosed_sql("SELECT * FROM both_bands WHERE sample_group = 'train'", "band_order")
+        + diagnosed_sql(f"SELECT * FROM both_bands WHERE sample_group = '{group}'", "band_order")
         + ") d LEFT JOIN band_edge e USING (band_order) LEFT JOIN ("
-        + funnel_sql("banded WHERE sample_group = 'train'", "band_order", "GROUP BY band_order")
-        + f") f USING (band_order) LEFT JOIN ({PSI_SQL}) s USING (band_order), plan p",
-        *PLAN_PARTS,
-        ("both_bands", BOTH),
-        ("band_edge", EDGES_SQL),
+        + funnel_sql(f"banded WHERE sample_group = '{group}'", "band_order", "GROUP BY band_order")
+        + f") f USING (band_order) LEFT JOIN ({PSI_SQL}) s USING (band_order), plan p"
+    )
+
+
+ENRICHED = ["band_order", "band", "n", "sample_pct", "merged_from", "extreme_role", "score_left", "score_right", *PLAIN_RATES, *DIAGNOSED, "actual_apply_cnt", *FUNNEL_DOUBLES, "train_oot_psi_component", "train_oot_psi_total", "estimated_decision", "estimated_band_flow_rate", "estimated_cumulative_flow_rate"]
+
+
+ENRICHED_DOUBLES = ["sample_pct", "score_left", "score_right", *PLAIN_RATES, *DIAGNOSED, *FUNNEL_DOUBLES, "train_oot_psi_component", "train_oot_psi_total", "estimated_band_flow_rate", "estimated_cumulative_flow_rate"]
+
+
+@query("band_decision", sql(enriched_sql("train"), *PLAN_PARTS, ("both_bands", BOTH), ("band_edge", EDGES_SQL)), ENRICHED_DOUBLES)
+def _(spark, sf_dir):
+    return run_of(spark, sf_dir).enriched("train").select(*ENRICHED)
+
+
+OVERALL = [f"estimated_overall_{r}_rate" for r in ("auto_pass", "manual_review", "total_accept", "reject")]
+RANKED = [f"overall_{m}_{c}" for m in NAMES for c in ("auc", "ks")]
+
+
+@query(
+    "band_report",
+    sql(
+        "SELECT b.*, " + ", ".join(f"f.{c.replace('overall_', '')} AS {c}" for c in OVERALL) + ", " + ", ".join(f"max(g.{c}) FILTER (WHERE g.label = '{h.label}') OVER (PARTITION BY b.sample_group) AS overall_{h.name}_{c}" for h in HORIZONS for c in ("auc", "ks"))
+        + " FROM (" + " UNION ALL ".join(f"SELECT '{g}' AS sample_group, * FROM ({enriched_sql(g)}) {g}_rows" for g in ("train", "oot")) + ") b LEFT JOIN ("
+        + " UNION ALL ".join(flow_sql(g, f"sample_group = '{g}'") for g in ("train", "oot")) + f") f USING (sample_group) LEFT JOIN ({GRID_SQL}) g USING (sample_group) QUALIFY row_number() OVER (PARTITION BY b.sample_group, b.band_order) = 1",
+        *PLAN_PARTS, DECIDED, ("both_bands", BOTH), ("band_edge", EDGES_SQL),
     ),
-    ["sample_pct", "score_left", "score_right", *PLAIN_RATES, *DIAGNOSED, *FUNNEL_DOUBLES, "train_oot_psi_component", "train_oot_psi_total", "estimated_band_flow_rate", "estimated_cumulative_flow_rate"],
+    [*ENRICHED_DOUBLES, *OVERALL, *RANKED],
 )
 def _(spark, sf_dir):
-    return run_of(spark, sf_dir).enriched("train").select(*ENRICHED)
+    return run_of(spark, sf_dir).band_report().select("sample_group", *ENRICHED, *OVERALL, *RANKED)
 
 
 @query(
@@ -755,7 +774,7 @@ def _(spark, sf_dir):
 
 
 # Registers what it holds in the same tables.
-from scoreloom.plans import model_queries  # noqa: E402, F401
+from scoreloom.plans import model_queries, turned_queries  # noqa: E402, F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

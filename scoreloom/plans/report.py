@@ -101,25 +101,25 @@ def online_rules(spark) -> DataFrame:
 def sections(run: Run) -> Sections:
     """All tables by sheet and name."""
     spark, p = run.applications.sparkSession, run.settings.policy
-    oot = bands.band_stats(run.banded.filter("sample_group = 'oot'"))
+    oot = bands.band_stats(run.banded.filter("sample_group = 'oot'"), run.ordering)
     out: Sections = {
         "01_overview": {"overview": overview(run)},
-        "02_bins": {"process": bands.process_table(bands.dense_bin_stats(run.binned.filter("sample_group = 'train'"), run.edges), run.ranges, run.settings.search)},
-        "03_bands": {"bands": run.enriched("train").unionByName(run.enriched("oot"))},
+        "02_bins": {"process": bands.process_table(bands.dense_bin_stats(run.binned.filter("sample_group = 'train'"), run.edges, run.ordering), run.ranges, run.settings.search)},
+        "03_bands": {"bands": run.band_report()},
         "04_policy": {
             "actual_funnel": funnel.by_group(run.completed),
-            "estimated_flow": policy.flow(run.scored, run.plan),
+            "estimated_flow": policy.flow(run.scored, run.plan, ordering=run.ordering),
             "threshold_selection": policy.selection(run.curve, run.plan, p),
             "plan": run.plan,
             "sensitivity": policy.sensitivity(run.curve, run.plan),
-            "segments": policy.segments(run.scored, run.plan),
+            "segments": policy.segments(run.scored, run.plan, ordering=run.ordering),
         },
         "05_validation": {
             "comparison": validation.compare(run.train_bands, oot, run.band_edges),
             "performance": run.performance,
             "performance_wide": validation.performance_wide(run.performance),
             "psi": run.psi,
-            "monotonicity": validation.monotonicity(run.both_bands),
+            "monotonicity": validation.monotonicity(run.both_bands, ordering=run.ordering),
             "monthly_summary": validation.monthly_summary(run.monthly),
             "monthly": run.monthly,
         },

@@ -7,16 +7,17 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.functions.columns import Ranges, band_letter, band_order, bucket, ratio
+from scoreloom.functions.columns import Ranges, band_letter, band_order, ratio
+from scoreloom.functions.ordering import RISING, Ordering
 
 
-def windowed(events: DataFrame, edges: Sequence[float], ranges: Ranges, time: str = "ts", score: str = "score_mlt", width: str = "1 day", late: str = "2 days") -> DataFrame:
+def windowed(events: DataFrame, edges: Sequence[float], ranges: Ranges, time: str = "ts", score: str = "score_mlt", width: str = "1 day", late: str = "2 days", ordering: Ordering = RISING) -> DataFrame:
     """(window, counts): a stream or table of scored events, counted by band within a watermark.
 
     A window's bands stay in one row, so that a stream's update always holds the whole window.
     """
     rows = events.withWatermark(time, late) if events.isStreaming else events
-    rows = rows.withColumn("band_order", band_order(bucket(score, edges), ranges))
+    rows = rows.withColumn("band_order", band_order(ordering.bucket(score, edges), ranges))
     counts = F.array(*[F.count_if(F.col("band_order") == k) for k in range(1, len(ranges) + 1)])
     return rows.groupBy(F.window(time, width).alias("window")).agg(counts.alias("counts"))
 
