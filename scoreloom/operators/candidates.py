@@ -9,6 +9,7 @@ states for one model on the driver; here they are a table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from scoreloom.functions.columns import ratio
 from scoreloom.functions.special import two_proportion_p, two_proportion_z
 from scoreloom.operators.bands import sums
+from scoreloom.operators.quantiles import quantiles_by
 from scoreloom.settings import Floors, Policy, Search
 
 RATES = ("m1_cnt", "m3_cnt", "m1_amt", "m3_amt")
@@ -32,10 +34,13 @@ Ranges = Sequence[tuple[int, int]]
 
 def edges_by(train: DataFrame, by: Sequence[str], score: str = "score_mlt", bins: int = 20) -> DataFrame:
     """(by, edges): each model's distinct interpolated quantiles with infinite ends."""
-    shares = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
-    cut = train.filter(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(*by).agg(F.array_distinct(F.percentile(score, shares)).alias("cuts"))
-    ends = [F.array(F.lit(x)) for x in (float("-inf"), float("inf"))]
-    return cut.select(*by, F.concat(ends[0], F.slice("cuts", F.lit(2), F.greatest(F.size("cuts") - 2, F.lit(0))), ends[1]).alias("edges"))
+    found = quantiles_by(train, score, [k / bins for k in range(bins + 1)], by)
+    rows = []
+    for model, cuts in found.items():
+        inner = sorted(set(cuts))[1:-1]
+        rows.append((*model, [-math.inf, *inner, math.inf]))
+    fields = ", ".join(f"`{c}` {dict(train.dtypes)[c]}" for c in by)
+    return train.sparkSession.createDataFrame(rows, f"{fields}, edges array<double>")
 
 
 def binned_by(df: DataFrame, edges: DataFrame, by: Sequence[str], score: str = "score_mlt") -> DataFrame:

@@ -1,66 +1,79 @@
-"""Equal-frequency edges: exact interpolated quantiles without one task seeing all values."""
+"""Equal-frequency edges: exact interpolated quantiles by selection over the leading bits of values."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreloom.functions.columns import steps
-
-#: Ordered stretches of values that running counts are taken in.
-STRETCHES = 32
-#: Rows up to which one task may hold all distinct values.
-SMALL = 1_000_000
-
-
-def stretch(value: str, cuts: Sequence[float]) -> Column:
-    """Number of the stretch between cuts that holds a value; any disjoint, ordered cuts will do."""
-    return steps(F.col(value), cuts)
-
-
-def rough_cuts(df: DataFrame, value: str, parts: int = STRETCHES) -> list[float]:
-    return _count_and_cuts(df, value, parts)[1]
-
-
-def _count_and_cuts(df: DataFrame, value: str, parts: int = STRETCHES) -> tuple[int, list[float]]:
-    found = df.agg(F.count(value).alias("n"), F.percentile_approx(value, [k / parts for k in range(1, parts)], 1000).alias("c")).first()
-    return found["n"], sorted({c for c in found["c"] or [] if math.isfinite(c)})
-
-
-def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], small: int = SMALL) -> list[float]:
-    """Linearly interpolated quantiles; beyond small rows over the histogram of values in ordered stretches."""
-    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(value)
-    total, cuts = _count_and_cuts(rows, value)
-    if not total:
-        return []
-    if total <= small:
-        return list(rows.agg(F.percentile(value, F.array(*[F.lit(float(q)) for q in shares])).alias("q")).first()["q"])
-    placed = rows.groupBy(value).agg(F.count(F.lit(1)).alias("n")).withColumn("part", stretch(value, cuts))
-    totals = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.sum("n").alias("n")).collect()}
-    before, at = {}, 0
-    for part in sorted(totals):
-        before[part] = at
-        at += totals[part]
-    ranks = [q * (total - 1) for q in shares]
-    wanted = sorted({r for x in ranks for r in (math.floor(x), math.ceil(x))})
-    start = F.lit(0)
-    for part, n in before.items():
-        start = F.when(F.col("part") == part, n).otherwise(start)
-    needed = [part for part, n in totals.items() if any(before[part] <= r < before[part] + n for r in wanted)]
-    last = F.sum("n").over(Window.partitionBy("part").orderBy(value)) + start
-    asked = F.array(*[F.lit(r).cast("long") for r in wanted])
-    seen = placed.filter(F.col("part").isin(needed)).withColumn("last", last)
-    # At most two values for each share.
-    hits = seen.select(value, F.filter(asked, lambda r: (r < F.col("last")) & (r >= F.col("last") - F.col("n"))).alias("ranks")).filter(F.size("ranks") > 0)
-    values = {r: row[value] for row in hits.collect() for r in row["ranks"]}
-    out = []
-    for x in ranks:
-        low, high = values[math.floor(x)], values[math.ceil(x)]
-        out.append(low if low == high else low + (high - low) * (x - math.floor(x)))
-    return out
+from scoreloom.functions.keys import BITS, double_of, leading, order_key
+
+#: Bits that a pass tells apart, so that it counts at most 65,536 of them in each stretch that is asked for.
+STEP = 16
+#: Rows of all asked stretches together from which on their values are counted one by one.
+FEW = 100_000
+
+
+def quantiles_by(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = ()) -> dict[tuple, list[float]]:
+    """Linearly interpolated quantiles of each group, exactly as percentile() has them; a group without values has none.
+
+    A pass counts values by some more leading bits of their keys, within the stretches that hold a wanted rank, and keeps
+    those that still do: two for each share at most, so groups times shares rows come to the driver. It ends when the
+    stretches hold few rows, or after four passes, when all bits are known.
+    """
+    by, count = list(by), len(by)
+    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, order_key(F.col(value)).alias("__key"))
+    asked: list[tuple] | None = None
+    shares = [float(q) for q in shares]
+    sizes: dict[tuple, int] = {}
+    kinds = [rows.schema[c] for c in by]
+    bits = 0
+    while bits < BITS:
+        last = asked is not None and sum(t[-2] for t in asked) <= FEW
+        more = BITS if last else bits + STEP
+        if asked is None:
+            counted = rows.groupBy(*by, leading(F.col("__key"), more).alias("__at")).agg(F.count(F.lit(1)).alias("__n"))
+            group = Window.partitionBy(*by)
+            n = F.sum("__n").over(group)
+            ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor((n - 1) * q), F.ceil((n - 1) * q)) for q in shares])))
+            counted = counted.withColumns({"__size": n, "__ranks": ranks, "__base": F.lit(0).cast("long")})
+            within = group.orderBy("__at")
+        else:
+            schema = ", ".join([*(f"`{k.name}` {k.dataType.simpleString()}" for k in kinds), "__from long, __base long, __rows long, __ranks array<bigint>"])
+            targets = df.sparkSession.createDataFrame([(*t[:count], *t[count:]) for t in asked], schema)
+            same = leading(F.col("__key"), bits) == F.col("__from")
+            for c in by:
+                same &= F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}"))
+            # Two rows for each share and group at most.
+            met = rows.alias("r").join(F.broadcast(targets.alias("t")), same).select(*[F.col(f"r.{c}").alias(c) for c in by], "__from", "__base", "__ranks", leading(F.col("__key"), more).alias("__at"))
+            counted = met.groupBy(*by, "__from", "__base", "__ranks", "__at").agg(F.count(F.lit(1)).alias("__n")).withColumn("__size", F.lit(0).cast("long"))
+            within = Window.partitionBy(*by, "__from").orderBy("__at")
+        before = F.col("__base") + F.coalesce(F.sum("__n").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = counted.withColumn("__before", before)
+        hit = F.filter("__ranks", lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__n")))
+        found = placed.select(*by, "__at", "__before", "__n", "__size", hit.alias("__hit")).filter(F.size("__hit") > 0).collect()
+        if asked is None:
+            sizes = {tuple(r[:count]): r["__size"] for r in found}
+        asked = [(*r[:count], r["__at"], r["__before"], r["__n"], r["__hit"]) for r in found]
+        bits = more
+    values: dict[tuple, dict[int, float]] = {}
+    for t in asked or []:
+        values.setdefault(tuple(t[:count]), {}).update(dict.fromkeys(t[-1], double_of(t[count])))
+    return {g: [_between(values[g], q * (n - 1)) for q in shares] for g, n in sizes.items()}
+
+
+def _between(values: dict[int, float], place: float) -> float:
+    """The value at a place between two ranks."""
+    low, high = math.floor(place), math.ceil(place)
+    a, b = values[low], values[high]
+    return a if low == high or a == b else (high - place) * a + (place - low) * b
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> list[float]:
+    """Linearly interpolated quantiles of all values; empty without any."""
+    return quantiles_by(df, value, shares).get((), [])
 
 
 def equal_frequency_edges(train: DataFrame, score: str = "score_mlt", bins: int = 20) -> tuple[float, ...]:

@@ -10,15 +10,14 @@ from pyspark.sql import functions as F
 from scoreloom.functions.columns import ratio
 from scoreloom.functions.ordering import RISING, Ordering
 from scoreloom.operators.bands import NAMES, derived, sums
-from scoreloom.operators.quantiles import rough_cuts, stretch
+from scoreloom.operators.scan import ordered
 from scoreloom.settings import HORIZONS
 
 
 def auc_ks(df: DataFrame, score: str = "score_mlt", high_is_bad: bool = True) -> DataFrame:
     """n, counts, AUC (average ranks) and KS (ties together) by sample_group and label.
 
-    Works on the histogram of scores, with running counts inside ordered stretches of scores and the
-    stretches' own totals before them, so no task sees a whole group.
+    Works on the histogram of scores, scanned in order by stretches, so no task sees a whole group.
     """
     s = F.col(score).cast("double") if high_is_bad else -F.col(score).cast("double")
     rows = df.filter(F.col("sample_group").isin("train", "oot") & F.col(score).isNotNull() & ~F.isnan(score))
@@ -26,24 +25,8 @@ def auc_ks(df: DataFrame, score: str = "score_mlt", high_is_bad: bool = True) ->
     cases = rows.select("sample_group", s.alias("s"), labels.alias("l")).select("sample_group", "s", "l.label", F.when(F.col("l.y").isin(0, 1), F.col("l.y")).alias("y"))
     # Labels that are not known count no case, but keep their group in the result.
     histogram = cases.groupBy("sample_group", "label", "s").agg(F.count_if(F.col("y") == 1).alias("b"), F.count_if(F.col("y") == 0).alias("g"))
-    placed = histogram.withColumn("part", stretch("s", rough_cuts(cases, "s")))
     group = ["sample_group", "label"]
-    parts = placed.groupBy(*group, "part").agg(F.sum("b").alias("pb"), F.sum("g").alias("pg"))
-    before = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
-    starts = parts.select(
-        *group,
-        "part",
-        F.coalesce(F.sum("pb").over(before), F.lit(0)).alias("b0"),
-        F.coalesce(F.sum("pg").over(before), F.lit(0)).alias("g0"),
-        F.sum("pb").over(whole).alias("bads"),
-        F.sum("pg").over(whole).alias("goods"),
-    )
-    inside = Window.partitionBy(*group, "part").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    # starts has at most one row for each group, label and stretch.
-    seen = placed.join(F.broadcast(starts), [*group, "part"]).withColumns(
-        {"cb": F.col("b0") + F.sum("b").over(inside), "cg": F.col("g0") + F.sum("g").over(inside)}
-    )
+    seen = ordered(histogram, group, "s", ["b", "g"]).withColumns({"cb": F.col("before_b") + F.col("b"), "cg": F.col("before_g") + F.col("g"), "bads": F.col("total_b"), "goods": F.col("total_g")})
     rank = F.col("cb") + F.col("cg") - F.col("b") - F.col("g") + (F.col("b") + F.col("g") + 1) / 2
     gap = F.abs(ratio("cb", "bads") - ratio("cg", "goods"))
     out = seen.groupBy(*group).agg(
@@ -65,12 +48,9 @@ def performance_wide(grid: DataFrame) -> DataFrame:
 
 
 def _ranked(df: DataFrame, value: str, out: str) -> DataFrame:
-    """(value, out): average rank of each distinct value, from ordered stretches."""
-    h = df.groupBy(value).agg(F.count(F.lit(1)).alias("n")).withColumn("part", stretch(value, rough_cuts(df, value)))
-    parts = h.groupBy("part").agg(F.sum("n").alias("pn"))
-    starts = parts.select("part", F.coalesce(F.sum("pn").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n0"))
-    inside = Window.partitionBy("part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return h.join(F.broadcast(starts), "part").select(value, (F.col("n0") + F.sum("n").over(inside) - F.col("n") + (F.col("n") + 1) / 2).alias(out))
+    """(value, out): average rank of each distinct value."""
+    h = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    return ordered(h, [], value, ["n"]).select(value, (F.col("before_n") + (F.col("n") + 1) / 2).alias(out))
 
 
 def spearman(df: DataFrame, left: str, right: str) -> DataFrame:
