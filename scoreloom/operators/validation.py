@@ -71,7 +71,12 @@ def spearman(df: DataFrame, left: str, right: str) -> DataFrame:
 def psi(banded: DataFrame, bands: DataFrame, floor: float = 1e-6) -> DataFrame:
     """Stability by band of bands(band_order, band), with the total on every row."""
     count = lambda group: F.count_if(F.col("sample_group") == group).alias(f"{group}_n")
-    counts = banded.filter("band_order is not null").groupBy(F.col("band_order").alias("k")).agg(count("train"), count("oot"))
+    return psi_of_counts(banded.filter("band_order is not null").groupBy("band_order").agg(count("train"), count("oot")), bands, floor)
+
+
+def psi_of_counts(counts: DataFrame, bands: DataFrame, floor: float = 1e-6) -> DataFrame:
+    """Stability by band from counts(band_order, train_n, oot_n), with the total on every row."""
+    counts = counts.withColumnRenamed("band_order", "k")
     base = F.broadcast(bands.select("band_order", "band").distinct()).join(counts, F.col("band_order") == F.col("k"), "left").drop("k")
     whole = Window.partitionBy()
     out = base.withColumns({f"{g}_n": F.coalesce(f"{g}_n", F.lit(0)) for g in ("train", "oot")})
@@ -104,12 +109,17 @@ def monotonicity(stats: DataFrame, order: str = "band_order", rates: Sequence[st
 
 
 def monthly(banded: DataFrame, tolerance: float = 0.003, ordering: Ordering = RISING) -> DataFrame:
-    """Band statistics of each month; shares and running totals stay within the month."""
+    """Band statistics of each month from rows; shares and running totals stay within the month."""
     rows = banded.filter(F.col("sample_group").isin("train", "oot") & F.col("application_month").isNotNull() & F.col("band_order").isNotNull())
     by = ["sample_group", "application_month"]
-    out = derived(sums(rows, *by, "band_order", "band"), "band_order", by, ordering)
+    return with_changes(derived(sums(rows, *by, "band_order", "band"), "band_order", by, ordering), tolerance, ordering)
+
+
+def with_changes(months: DataFrame, tolerance: float = 0.003, ordering: Ordering = RISING) -> DataFrame:
+    """Band statistics of months with the main rate's change from the band before, and whether it falls."""
+    by = ["sample_group", "application_month"]
     rate = F.col("m3_cnt_bad_rate")
-    out = out.withColumn("primary_rate_diff_prev", rate - F.lag(rate).over(ordering.window("band_order", *by)))
+    out = months.withColumn("primary_rate_diff_prev", rate - F.lag(rate).over(ordering.window("band_order", *by)))
     return out.withColumn("primary_inversion_flag", F.coalesce(F.col("primary_rate_diff_prev") < -tolerance, F.lit(False)))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import contracts
 from scoreloom.functions.ordering import Ordering
-from scoreloom.operators import bands, funnel, policy, quantiles, samples, validation
+from scoreloom.operators import bands, cube, funnel, policy, quantiles, samples, validation
 from scoreloom.plans import search
 from scoreloom.settings import Settings
 
@@ -27,14 +27,17 @@ log = logging.getLogger(__name__)
 
 def small(df: DataFrame, most: int) -> DataFrame:
     """A table of at most so many rows, computed once and held as a local one; fails beyond."""
-    rows = df.limit(most + 1).collect()
-    if len(rows) > most:
+    rows = df.limit(most + 1).toArrow()
+    if rows.num_rows > most:
         raise ValueError(f"more than {most} rows")
+    # From Arrow it is a relation of the driver's own, which plans read without a Python worker.
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
 #: Bins that a search is meant for, at most.
 MOST_BINS = 1000
+#: Rows of a cube: samples times months times bins, some ten thousand for decades of months.
+MOST_CUBE = 200_000
 
 
 @dataclass
@@ -82,10 +85,15 @@ class Run:
     def binned(self) -> DataFrame:
         return bands.with_bins(self.scored, self.edges, ordering=self.ordering)
 
+    @cached_property
+    def cube(self) -> DataFrame:
+        """Sums by sample, month and bin: the one scan that bands, stability, months, comparison and curve share."""
+        return self.timed("cube", lambda: small(cube.cube(self.binned), MOST_CUBE))
+
     @cached_property
     def train_sums(self) -> DataFrame:
         """One row for each bin."""
-        return small(bands.dense_bin_sums(self.binned.filter("sample_group = 'train'"), self.edges), MOST_BINS)
+        return small(cube.bin_sums(self.cube, self.edges), MOST_BINS)
 
     @cached_property
     def found(self) -> search.Found:
@@ -111,13 +119,12 @@ class Run:
 
     def sample_bands(self, group: str) -> DataFrame:
         """Band statistics of one sample, with the bands' edges."""
-        stats = bands.band_stats(self.banded.filter(F.col("sample_group") == group), self.ordering).withColumn("sample_group", F.lit(group))
+        stats = cube.bands(self.cube.filter(F.col("sample_group") == group), self.ranges, ordering=self.ordering).withColumn("sample_group", F.lit(group))
         return stats.join(F.broadcast(self.band_edges.select("band_order", "score_left", "score_right", "merged_from", "extreme_role")), "band_order", "left")
 
     @cached_property
     def both_bands(self) -> DataFrame:
-        rows = self.banded.filter(F.col("sample_group").isin("train", "oot"))
-        return bands.derived(bands.sums(rows, "sample_group", "band_order", "band"), "band_order", ["sample_group"], self.ordering)
+        return cube.bands(self.cube.filter(F.col("sample_group").isin("train", "oot")), self.ranges, "sample_group", ordering=self.ordering)
 
     @cached_property
     def curve(self) -> DataFrame:
@@ -129,7 +136,7 @@ class Run:
 
     @cached_property
     def psi(self) -> DataFrame:
-        return validation.psi(self.banded, self.band_edges, self.settings.psi_floor)
+        return validation.psi_of_counts(cube.band_counts(self.cube, self.ranges), self.band_edges, self.settings.psi_floor)
 
     @cached_property
     def performance(self) -> DataFrame:
@@ -137,7 +144,7 @@ class Run:
 
     @cached_property
     def monthly(self) -> DataFrame:
-        return validation.monthly(self.banded, self.settings.monthly_tolerance, self.ordering)
+        return validation.with_changes(cube.months(self.cube, self.ranges, self.ordering), self.settings.monthly_tolerance, self.ordering)
 
     def enriched(self, group: str) -> DataFrame:
         """Bands of a sample with diagnostics, funnel, stability and decision; a band twice on either side of the funnel, or twice in the stability, fails."""

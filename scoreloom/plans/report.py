@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.operators import bands, funnel, policy, validation
+from scoreloom.operators import bands, cube, funnel, policy, validation
 from scoreloom.plans.pipeline import Run
 
 log = logging.getLogger(__name__)
@@ -101,10 +101,10 @@ def online_rules(spark) -> DataFrame:
 def sections(run: Run) -> Sections:
     """All tables by sheet and name."""
     spark, p = run.applications.sparkSession, run.settings.policy
-    oot = bands.band_stats(run.banded.filter("sample_group = 'oot'"), run.ordering)
+    oot = cube.bands(run.cube.filter("sample_group = 'oot'"), run.ranges, ordering=run.ordering)
     out: Sections = {
         "01_overview": {"overview": overview(run)},
-        "02_bins": {"process": bands.process_table(bands.dense_bin_stats(run.binned.filter("sample_group = 'train'"), run.edges, run.ordering), run.ranges, run.settings.search)},
+        "02_bins": {"process": bands.process_table(bands.derived(run.train_sums, "bin_order", ordering=run.ordering), run.ranges, run.settings.search)},
         "03_bands": {"bands": run.band_report()},
         "04_policy": {
             "actual_funnel": funnel.by_group(run.completed),
