@@ -774,7 +774,7 @@ def _(spark, sf_dir):
 
 
 # Registers what it holds in the same tables.
-from scoreloom.plans import model_queries, turned_queries  # noqa: E402, F401
+from scoreloom.plans import model_queries, stream_queries, turned_queries  # noqa: E402, F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.functions.columns import Ranges, band_letter, band_order, ratio
@@ -42,3 +44,50 @@ def watch(events: DataFrame, edges: Sequence[float], ranges: Ranges, frozen: Seq
     """Starts a stream that hands each batch's drift to sink(drift, batch_id)."""
     counts = windowed(events, edges, ranges, **options)
     return counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(lambda df, k: sink(drift(df, frozen), k)).start()
+
+
+# Streams run to their end ------------------------------------------------------------------------
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors see: below the session's checkpoint folder, which only a local session may leave unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="scoreloom-")
+    return f"{found.rstrip('/')}/monitor/{uuid.uuid4().hex}"
+
+
+def follow(events: DataFrame, edges: Sequence[float], ranges: Ranges, sink: str, checkpoint: str, **options) -> None:
+    """Reads what a stream of events has that was not read before, and ends.
+
+    Each batch's updated windows are written below sink under the batch's number, so a batch that is repeated after a
+    failure replaces itself.
+    """
+
+    def keep(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{sink}/batch={batch}")
+
+    counts = windowed(events, edges, ranges, **options)
+    counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+
+
+def latest(spark: SparkSession, sink: str) -> DataFrame:
+    """(window, counts): the last state of each window that follow() wrote."""
+    rows = spark.read.option("basePath", sink).parquet(sink)
+    return rows.groupBy("window").agg(F.max_by("counts", "batch").alias("counts"))
+
+
+def replay(events: DataFrame, arrival: str, arrivals: int, edges: Sequence[float], ranges: Ranges, **options) -> DataFrame:
+    """(window, counts) after events came in one lot after another, as their column arrival (0, 1, ...) says; what comes past the watermark is left out.
+
+    Each lot is written as files of a folder, and the stream over it is started again from its checkpoint.
+    """
+    spark, folder = events.sparkSession, work_folder(events.sparkSession)
+    lots = events.drop(arrival)
+    for k in range(arrivals):
+        events.filter(F.col(arrival) == k).drop(arrival).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(lots.schema).parquet(f"{folder}/in")
+        follow(stream, edges, ranges, f"{folder}/out", f"{folder}/state", **options)
+    return latest(spark, f"{folder}/out")

@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("orders", "conversations", "embeddings"):
+    for t in ("orders", "events", "conversations", "embeddings"):
         c.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     return c
 
