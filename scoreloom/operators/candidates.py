@@ -289,3 +289,48 @@ def pair_costs(bins: DataFrame, parts: DataFrame, by: Sequence[str], search: Sea
     out = out.withColumns({"merge_cost": cost, "is_blocked": blocked})
     cheapest = Window.partitionBy(*keys).orderBy(F.col("is_blocked"), F.round("merge_cost", 10), F.col("pair_index"))
     return out.withColumn("cheapest_open", (F.row_number().over(cheapest) == 1) & ~F.col("is_blocked")).drop("iv_now", "iv_then")
+
+
+# What else the search looks at ------------------------------------------------------------------------
+
+
+def texts(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, ranges): the partitions as text, [(1,2), (3,5)], which parsed() reads again."""
+    one = F.format_string("(%d,%d)", "first_bin", "last_bin")
+    listed = F.array_sort(F.collect_list(F.struct("band_order", one.alias("text"))))
+    return parts.groupBy(*keys).agg(F.concat(F.lit("["), F.array_join(listed["text"], ", "), F.lit("]")).alias("ranges"))
+
+
+def overlaps(first: Column, last: Column, other_first: Column, other_last: Column) -> Column:
+    """Whether two closed stretches of bins share one."""
+    return (first <= other_last) & (other_first <= last)
+
+
+def spans(bins: DataFrame, by: Sequence[str], search: Search) -> DataFrame:
+    """Every stretch of neighbouring bins of each model: its role, which kept ends it touches, and the cuts of them that it crosses."""
+    by = list(by)
+    count = bins.groupBy(*by).agg(F.max("bin_order").alias("bins"))
+    every = count.withColumn("first_bin", F.explode(F.sequence(F.lit(1), F.col("bins")))).withColumn("last_bin", F.explode(F.sequence(F.col("first_bin"), F.col("bins"))))
+    first, last, k = F.col("first_bin"), F.col("last_bin"), F.col("bins")
+    ends = _extremes(search, k)
+    touched = {f"touches_{n}": overlaps(first, last, *ends[n][:2]) if n in ends else F.lit(False) for n in ("best_extreme", "worst_extreme")}
+    crossed = F.size(F.filter(extreme_cuts(search, k), lambda c: (c >= first) & (c < last)))
+    return every.withColumns({"extreme_role": role(search, first, last, k), **touched, "crossed_cuts": crossed}).drop("bins")
+
+
+def inversion_pairs(bins: DataFrame, parts: DataFrame, by: Sequence[str], search: Search) -> DataFrame:
+    """Neighbouring bands between which a primary rate falls by more than the tolerance, how deep, and the deepest of each candidate, the first of equal ones."""
+    keys = [*by, "candidate"]
+    w = Window.partitionBy(*keys).orderBy("band_order")
+    moved = band_sums(bins, parts, by).withColumns({f"change_{r}": _change(f"{r}_bad_rate", search, w) for r in PRIMARY})
+    fallen = [F.coalesce(F.col(f"change_{r}") < -search.tolerance, F.lit(False)) for r in PRIMARY]
+    rows = moved.filter(fallen[0] | fallen[1]).select(*keys, (F.col("band_order") - 1).alias("pair_index"), F.least(*[F.col(f"change_{r}") for r in PRIMARY]).alias("depth"))
+    return rows.withColumn("deepest", F.row_number().over(Window.partitionBy(*keys).orderBy(F.round("depth", 12), "pair_index")) == 1)
+
+
+def worst_violators(constrained_: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Of each candidate the band that lacks most of what it needs, the first of equal ones; none where all bands meet their floors."""
+    keys = [*by, "candidate"]
+    rank = Window.partitionBy(*keys).orderBy(F.desc(F.round("violation_severity", 12)), "band_order")
+    short = constrained_.filter(~F.col("all_constraints_ok")).withColumn("k", F.row_number().over(rank)).filter("k = 1")
+    return short.select(*keys, "band_order", "first_bin", "last_bin", "violation_severity")

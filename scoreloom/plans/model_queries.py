@@ -209,6 +209,59 @@ def _(spark, sf_dir):
     return candidates.pair_costs(model_bins(spark, sf_dir), candidates.partitions(spark, NAMED), BY, SEARCH, POLICY)
 
 
+# What the search is made of ---------------------------------------------------------------------------
+
+
+@query(
+    "merged_partitions",
+    model_sql("SELECT segment, candidate, pair_index, CAST(CASE WHEN band_order > pair_index THEN band_order - 1 ELSE band_order END AS INTEGER) AS band_order, min(first_bin) AS first_bin, max(last_bin) AS last_bin, CAST(sum(n) AS BIGINT) AS n, CAST(sum(m3_cnt_bad) AS BIGINT) AS m3_cnt_bad FROM (SELECT *, CAST(unnest(range(1, band_count)) AS INTEGER) AS pair_index FROM bands) q GROUP BY 1, 2, 3, 4"),
+)
+def _(spark, sf_dir):
+    """Every model's bands after each merge of neighbours in each partition."""
+    less = candidates.merged(candidates.partitions(spark, NAMED), [])
+    named = less.withColumn("candidate", F.concat_ws("#", "candidate", "pair_index"))
+    bands = candidates.band_sums(model_bins(spark, sf_dir), named, BY)
+    return bands.select(*BY, F.substring_index("candidate", "#", 1).alias("candidate"), "pair_index", "band_order", "first_bin", "last_bin", "n", "m3_cnt_bad")
+
+
+@query("range_text", model_sql("SELECT segment, candidate, '[' || string_agg('(' || first_bin || ',' || last_bin || ')', ', ' ORDER BY band_order) || ']' AS ranges, count(*) AS bands, sum(last_bin - first_bin + 1) = 20 AS covers FROM bands GROUP BY 1, 2"))
+def _(spark, sf_dir):
+    """Every model's partitions as text, read again from it."""
+    bands = candidates.band_sums(model_bins(spark, sf_dir), candidates.partitions(spark, NAMED), BY)
+    told = candidates.texts(bands, [*BY, "candidate"])
+    again = candidates.parsed(told, [*BY, "candidate", "ranges"])
+    return again.groupBy(*BY, "candidate", "ranges").agg(F.count(F.lit(1)).alias("bands"), (F.sum(F.col("last_bin") - F.col("first_bin") + 1) == 20).alias("covers"))
+
+
+@query(
+    "extreme_spans",
+    model_sql(f"SELECT segment, CAST(first_bin AS INTEGER) AS first_bin, CAST(last_bin AS INTEGER) AS last_bin, {ROLE} AS extreme_role, first_bin = 1 AS touches_best_extreme, last_bin = 20 AS touches_worst_extreme, CAST(CAST(first_bin = 1 AND last_bin > 1 AS INTEGER) + CAST(first_bin < 20 AND last_bin = 20 AS INTEGER) AS INTEGER) AS crossed_cuts FROM seg_cuts, range(1, 21) a(first_bin), range(1, 21) b(last_bin) WHERE first_bin <= last_bin"),
+)
+def _(spark, sf_dir):
+    return candidates.spans(model_bins(spark, sf_dir), BY, SEARCH)
+
+
+FALLEN = "SELECT segment, candidate, CAST(band_order - 1 AS INTEGER) AS pair_index, least(change_m1_cnt, change_m3_cnt) AS depth FROM moved WHERE change_m1_cnt < 0 OR change_m3_cnt < 0"
+
+
+@query("inversion_pairs", model_sql(f"SELECT *, row_number() OVER (PARTITION BY segment, candidate ORDER BY round(depth, 12), pair_index) = 1 AS deepest FROM ({FALLEN}) f", SCORES[0]), ["depth"])
+def _(spark, sf_dir):
+    return candidates.inversion_pairs(model_bins(spark, sf_dir), candidates.partitions(spark, NAMED), BY, SEARCH)
+
+
+@query("worst_violators", model_sql("SELECT segment, candidate, band_order, first_bin, last_bin, violation_severity FROM judged WHERE NOT all_constraints_ok QUALIFY row_number() OVER (PARTITION BY segment, candidate ORDER BY round(violation_severity, 12) DESC, band_order) = 1"), ["violation_severity"])
+def _(spark, sf_dir):
+    bands = candidates.band_sums(model_bins(spark, sf_dir), candidates.partitions(spark, NAMED), BY)
+    return candidates.worst_violators(candidates.constrained(bands, SEARCH), BY)
+
+
+@query("selected_partitions", model_sql(f"SELECT v.segment, v.candidate, t.ranges, v.candidate_score FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY {RANK}) AS k FROM valued) v JOIN (SELECT candidate, '[' || string_agg('(' || first_bin || ',' || last_bin || ')', ', ' ORDER BY band_order) || ']' AS ranges FROM parts GROUP BY 1) t USING (candidate) WHERE k = 1", *SCORES), ["candidate_score"])
+def _(spark, sf_dir):
+    parts = candidates.partitions(spark, NAMED)
+    best = candidates.scored(model_bins(spark, sf_dir), parts, BY, SEARCH).filter("selected")
+    return best.join(candidates.texts(parts, ["candidate"]), "candidate").select(*BY, "candidate", "ranges", "candidate_score")
+
+
 # The search itself: beyond SQL, replayed by brute force in the tests ---------------------------------
 
 

@@ -18,6 +18,7 @@ from scoreloom.plans import report
 from scoreloom.plans.pipeline import Run
 from scoreloom.settings import HORIZONS, INCOMPLETE, Floors, Limits, Periods, Policy, Search, Settings
 from scoreloom.sources import loans
+from scoreloom.streaming import monitor
 
 RANGES = ((1, 1), (2, 4), (5, 8), (9, 12), (13, 16), (17, 19), (20, 20))
 POLICY = Policy(
@@ -740,6 +741,38 @@ def _(spark, sf_dir):
     return policy.decide(df.withColumn("score_mlt", score), 0.5, 0.8).select("application_id", "decision")
 
 
+CSV_NUMBERS = [c for c in loans.NUMBERS if not c.startswith("duedate")]
+
+
+@query("csv_scan", sql(f"SELECT application_id, application_status, assessment_status, status, application_month, {', '.join(CSV_NUMBERS)} FROM loans"), CSV_NUMBERS)
+def _(spark, sf_dir):
+    """The loans as a CSV file with a byte-order mark in its header, read and cleaned again."""
+    folder = monitor.work_folder(spark)
+    names = ["application_id", "application_status", "assessment_status", "status", "application_month", *CSV_NUMBERS]
+    view = loans.loan_view(spark, sf_dir).select(*names).withColumnRenamed("application_id", loans.BOM + "application_id")
+    view.write.option("header", True).csv(folder)
+    got = loans.read_csv(spark, folder)
+    loans.require(got, tuple(names), "loans")
+    return got.withColumns({"application_id": F.col("application_id").cast("long"), **{c: loans.clean_double(c) for c in CSV_NUMBERS}}).select(*names)
+
+
+def figures_sql() -> str:
+    row = lambda section, metric, value, source: f"SELECT '{section}' AS section, '{metric}' AS metric, CAST({value} AS DOUBLE) AS value_num FROM {source}"
+    counted = {"completed": "count(*)", "without_score": "count(*) FILTER (WHERE score_mlt IS NULL)", "train": "count(*) FILTER (WHERE sample_group = 'train')", "oot": "count(*) FILTER (WHERE sample_group = 'oot')", "first_month": "NULL", "last_month": "NULL"}
+    rows = [row("sample", m, v, "kept" if v != "NULL" else "(SELECT 1) o") for m, v in counted.items()]
+    rows += [row("bins", "initial", 20, "(SELECT 1) o"), row("bins", "bands", len(RANGES), "(SELECT 1) o")]
+    numbers = ["auto_order", "accept_order", *PLAN_DOUBLES]
+    rows += [row("policy", c, c, "plan") for c in numbers] + [row("policy", c, "NULL", "plan") for c in ("strategy_name", "objective", "status", "auto_pass_band", "manual_review_upper_band")]
+    rows.append(row("stability", "psi_total", "max(psi_total)", f"({PSI_SQL}) s"))
+    rows += [f"SELECT 'performance' AS section, sample_group || ' ' || label || ' {m}' AS metric, {m} AS value_num FROM ({GRID_SQL}) g" for m in ("auc", "ks")]
+    return " UNION ALL ".join(rows)
+
+
+@query("overview_figures", sql(figures_sql(), *PLAN_PARTS), ["value_num"])
+def _(spark, sf_dir):
+    return report.overview(run_of(spark, sf_dir)).select("section", "metric", "value_num")
+
+
 # Search and report: beyond SQL --------------------------------------------------------------------
 
 
