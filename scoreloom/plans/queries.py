@@ -773,6 +773,38 @@ def _(spark, sf_dir):
     return report.overview(run_of(spark, sf_dir)).select("section", "metric", "value_num")
 
 
+SECTION_ROWS = [
+    ("02_bins", "process", "SELECT count(*) FROM edge"),
+    ("03_bands", "bands", "SELECT count(*) FROM both_bands"),
+    ("04_policy", "actual_funnel", "SELECT 3"),
+    ("04_policy", "estimated_flow", "SELECT 3 * count(*) FROM plan WHERE status = 'OK'"),
+    ("04_policy", "threshold_selection", "SELECT count(*) FROM curve"),
+    ("04_policy", "plan", "SELECT count(*) FROM plan"),
+    ("04_policy", "sensitivity", "SELECT 6 * count(*) FROM plan WHERE status = 'OK'"),
+    ("04_policy", "segments", "SELECT 6 * count(*) FROM plan WHERE status = 'OK'"),
+    ("05_validation", "comparison", "SELECT count(DISTINCT band_order) FROM banded"),
+    ("05_validation", "performance", f"SELECT count(*) FROM ({GRID_SQL}) g"),
+    ("05_validation", "performance_wide", f"SELECT count(DISTINCT sample_group) FROM ({GRID_SQL}) g"),
+    ("05_validation", "psi", "SELECT count(DISTINCT band_order) FROM banded"),
+    ("05_validation", "monotonicity", f"SELECT {len(validation.RATES)} * count(DISTINCT sample_group) FROM both_bands"),
+    ("05_validation", "monthly_summary", f"SELECT count(*) FROM (SELECT DISTINCT sample_group, application_month FROM ({MONTHLY_SQL}) m) d"),
+    ("05_validation", "monthly", f"SELECT count(*) FROM ({MONTHLY_SQL}) m"),
+]
+
+
+@query("report_sections", sql(" UNION ALL ".join(f"SELECT '{sheet}' AS sheet, '{name}' AS section, ({count}) AS n" for sheet, name, count in SECTION_ROWS), *PLAN_PARTS, ("both_bands", BOTH)))
+def _(spark, sf_dir):
+    """The report's sections over the data, written to a folder each and counted again from there."""
+    folder, made = monitor.work_folder(spark), report.sections(run_of(spark, sf_dir))
+    wanted = {sheet: {n: df for n, df in parts.items() if any((sheet, n) == x[:2] for x in SECTION_ROWS)} for sheet, parts in made.items()}
+    report.write(wanted, folder)
+    counts = [spark.read.parquet(f"{folder}/{sheet}/{n}").agg(F.lit(sheet).alias("sheet"), F.lit(n).alias("section"), F.count(F.lit(1)).alias("n")) for sheet, parts in wanted.items() for n in parts]
+    out = counts[0]
+    for more in counts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 # Search and report: beyond SQL --------------------------------------------------------------------
 
 

@@ -55,6 +55,10 @@ class Periods:
     oot_start: str = "2025-11"
 
 
+#: The defaults of Periods, Floors, Search and Policy, and those of Settings below, are fixed values of the method: its months, floors,
+#: costs, score weights and limits.
+
+
 @dataclass(frozen=True)
 class Floors:
     """Least size of a band; the outermost bands have floors of their own."""
