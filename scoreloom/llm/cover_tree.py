@@ -244,7 +244,10 @@ def _divided(rows: DataFrame, k: int, cosine: float) -> DataFrame:
     far = reach(cosine)
     shard, most, some = SHARD, CENTRES, CANDIDATES
     first = Window.partitionBy("cell").orderBy(F.xxhash64("node", F.lit(k)), "node")
-    sample = rows.filter("home").withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= some)
+    ranked = lambda df, most: df.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= most)
+    # A sample may miss what makes a cell wide, so its outermost point is always there.
+    outermost = ranked(rows.filter("home and far = radius"), 1).withColumn("rank", F.lit(some + 1))
+    sample = ranked(rows.filter("home"), some).unionByName(outermost)
 
     def centres(frame: pd.DataFrame) -> pd.DataFrame:
         points = matrix(frame.sort_values("rank")["unit"].tolist())
@@ -302,7 +305,7 @@ def shards(points: DataFrame, cosine: float = LEAST_COSINE) -> DataFrame:
         discard(rows)
         if k == ROUNDS or met.filter(large).isEmpty():
             return done
-        rows = store(_divided(met.filter(large).select("cell", "node", "home", "weight", "unit", "members", "present"), k, cosine), f"cells-{k + 1}")
+        rows = store(_divided(met.filter(large).select("cell", "node", "home", "weight", "unit", "far", "radius", "members", "present"), k, cosine), f"cells-{k + 1}")
 
 
 def links(points: DataFrame, cosine: float = LEAST_COSINE) -> DataFrame:

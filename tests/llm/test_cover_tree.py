@@ -77,6 +77,18 @@ def test_cells_that_cannot_be_divided_are_dealt_in_parts(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_outliers_do_not_hold_up_the_division(spark, monkeypatch):
+    monkeypatch.setattr(ct, "SHARD", 20)
+    monkeypatch.setattr(ct, "CANDIDATES", 8)
+    rng = np.random.default_rng(6)
+    x = np.vstack([family(rng, np.ones(6), 200, 0.001), rng.normal(size=(3, 6))])
+    rows = [(k, [float(v) for v in p], 1) for k, p in enumerate(x)]
+    points = ct.unit_bytes(spark.createDataFrame([("c", k, 1, v) for k, v, _ in rows], "cell string, node long, weight long, embedding array<double>"))
+    cells = {r["cell"]: r["tight"] for r in ct.shards(points).select("cell", "tight", "members").collect()}
+    assert any(cells.values()) and max(len(c.split(".")) for c in cells) <= 4
+    assert run(spark, rows) == brute(rows)
+
+
 def pairs(x, cosine=0.98):
     u = x / np.linalg.norm(x, axis=1)[:, None]
     near = u @ u.T >= cosine
