@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,18 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Lists to which store() adds what it writes, the innermost last.
-_recording: list[list[DataFrame]] = []
+#: The list to which store() adds what it writes, of this thread alone.
+_recording: ContextVar[list[DataFrame] | None] = ContextVar("recording", default=None)
 
 
 @contextmanager
 def recorded(made: list[DataFrame]) -> Iterator[None]:
     """Adds every table that store() makes meanwhile to a list, for discard_all() once nothing reads them."""
-    _recording.append(made)
+    before = _recording.set(made)
     try:
         yield
     finally:
-        _recording.pop()
+        _recording.reset(before)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -46,8 +47,9 @@ def store(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
-    if _recording:
-        _recording[-1].append(out)
+    made = _recording.get()
+    if made is not None:
+        made.append(out)
     return out
 
 
@@ -64,6 +66,11 @@ def discard_all(made: list[DataFrame]) -> None:
         discard(made.pop())
 
 
+def clean(result: DataFrame) -> None:
+    """Deletes all that a query of this subpackage stored for its result, once that is written."""
+    discard_all(result._working)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,4 +1,4 @@
-"""The queries of this subpackage and, where SQL can say the same, their SQL."""
+"""The queries of this subpackage and, where SQL can say the same, their SQL; common.clean() deletes what one stored."""
 
 from __future__ import annotations
 
@@ -15,7 +15,14 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, oracle: str | None = None):
     def add(f):
-        QUERIES[name] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            made: list[DataFrame] = []
+            with common.recorded(made):
+                out = f(spark, sf_dir)
+            out._working = made
+            return out
+
+        QUERIES[name] = run
         if oracle:
             ORACLES[name] = oracle
         return f
