@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.settings import APPROVED_FIRST, AUTO_PHRASE, HORIZONS, INCOMPLETE, MANUAL_PHRASE, OPENED, Horizon
@@ -45,6 +47,22 @@ def count_if(test: Column) -> Column:
     return F.count_if(test).cast("long")
 
 
+#: Flags that one number holds.
+FLAGS = 62
+
+
+def distinct_flags(df: DataFrame, keys: Sequence[str], entity: str, flags: dict[str, Column]) -> DataFrame:
+    """(keys, flags): of how many distinct values of entity some row has each flag.
+
+    The rows of a value meet first, their flags as bits of a few numbers, so that one narrow shuffle counts all flags.
+    """
+    lots = [list(flags.items())[k : k + FLAGS] for k in range(0, len(flags), FLAGS)]
+    masks = [reduce(add, [F.when(c, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, (_, c) in enumerate(lot)]) for lot in lots]
+    each = df.groupBy(*keys, entity).agg(*[F.bit_or(m).alias(f"__flags{k}") for k, m in enumerate(masks)])
+    counts = [F.count_if(F.col(f"__flags{k}").bitwiseAND(F.lit(1 << j)) != 0).alias(n) for k, lot in enumerate(lots) for j, (n, _) in enumerate(lot)]
+    return (each.groupBy(*keys) if keys else each).agg(*counts)
+
+
 def is_mature(h: Horizon) -> Column:
     return F.coalesce(F.col(h.label).isin(0, 1), F.lit(False))
 

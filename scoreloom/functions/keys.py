@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bits of a mantissa, the exponents' offset, and the least normal double.
@@ -19,18 +19,46 @@ def order_key(value: Column) -> Column:
     rounded, and powers of two are exact, so that the mantissa is what an exact division leaves.
     """
 
-    def of(size: Column) -> Column:
-        rough = F.floor(F.log2(size)).cast("double")
-        low = F.pow(F.lit(2.0), rough)
-        exponent = F.when(size < low, rough - 1).when(size >= low * 2, rough + 1).otherwise(rough)
-        part = size / F.pow(F.lit(2.0), exponent) - 1
-        normal = F.shiftleft((exponent + OFFSET).cast("long"), MANTISSA) + (part * float(1 << MANTISSA)).cast("long")
-        tiny = (size * 2.0**537 * 2.0**537).cast("long")
-        infinite = F.lit((2 * OFFSET + 1) << MANTISSA).cast("long")
-        return F.when(size == 0, F.lit(0).cast("long")).when(size == float("inf"), infinite).when(size < LEAST, tiny).otherwise(normal)
-
     x = value.cast("double")
-    bits = of(F.abs(x))
+    size = F.abs(x)
+    rough = _rough(size)
+    return _signed(x, _bits(size, _exponent(size, rough, _power(rough))))
+
+
+def with_key(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """df with order_key(value) as a column, each step a column of its own; df has no rows whose value is null or NaN.
+
+    As one expression the steps are written out again wherever they are used, so that logarithms and powers are taken
+    several times for a row and the generated method is too long to be compiled. The key is marked as never null, as the
+    test that joins make for it would be moved before the steps, with all of them written out in it.
+    """
+    x, size, rough, low, exponent = (f"{name}_{c}" for c in ("value", "size", "rough", "low", "exponent"))
+    out = df.withColumn(x, value.cast("double")).withColumn(size, F.abs(x)).withColumn(rough, _rough(F.col(size))).withColumn(low, _power(F.col(rough)))
+    out = out.withColumn(exponent, _exponent(F.col(size), F.col(rough), F.col(low)))
+    return out.withColumn(name, _bits(F.col(size), F.col(exponent))).withColumn(name, F.coalesce(_signed(F.col(x), F.col(name)), F.lit(0).cast("long"))).drop(x, size, rough, low, exponent)
+
+
+def _rough(size: Column) -> Column:
+    return F.floor(F.log2(size)).cast("double")
+
+
+def _power(exponent: Column) -> Column:
+    return F.pow(F.lit(2.0), exponent)
+
+
+def _exponent(size: Column, rough: Column, low: Column) -> Column:
+    return F.when(size < low, rough - 1).when(size >= low * 2, rough + 1).otherwise(rough)
+
+
+def _bits(size: Column, exponent: Column) -> Column:
+    part = size / _power(exponent) - 1
+    normal = F.shiftleft((exponent + OFFSET).cast("long"), MANTISSA) + (part * float(1 << MANTISSA)).cast("long")
+    tiny = (size * 2.0**537 * 2.0**537).cast("long")
+    infinite = F.lit((2 * OFFSET + 1) << MANTISSA).cast("long")
+    return F.when(size == 0, F.lit(0).cast("long")).when(size == float("inf"), infinite).when(size < LEAST, tiny).otherwise(normal)
+
+
+def _signed(x: Column, bits: Column) -> Column:
     return F.when(x.isNotNull() & ~F.isnan(x), F.when(x < 0, -bits).otherwise(bits))
 
 

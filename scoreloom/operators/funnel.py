@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.functions.columns import funnel_flags, ratio
+from scoreloom.functions.columns import distinct_flags, funnel_flags, ratio
 
 STEPS = ("apply", "completed", "approved", "auto", "manual", "deal")
 
@@ -26,9 +26,7 @@ def _rates(df: DataFrame) -> DataFrame:
 
 
 def _distinct(df: DataFrame, by: list[str], flags: dict[str, Column]) -> DataFrame:
-    """Distinct applications by flag: rows of an application are joined first, so one shuffle counts all flags."""
-    each = df.filter("application_id is not null").groupBy(*by, "application_id").agg(*[F.max(c).alias(n) for n, c in flags.items()])
-    return (each.groupBy(*by) if by else each).agg(*[F.count_if(n).alias(n) for n in flags])
+    return distinct_flags(df.filter("application_id is not null"), by, "application_id", flags)
 
 
 def by_group(df: DataFrame) -> DataFrame:
@@ -40,7 +38,7 @@ def by_group(df: DataFrame) -> DataFrame:
     return _rates(one.select(F.explode(F.array(*rows)).alias("r")).select("r.*"))
 
 
-def by_band(banded: DataFrame) -> DataFrame:
-    """Scored applications by band; those without one are left out."""
+def by_band(banded: DataFrame, *by: str) -> DataFrame:
+    """Scored applications by band, within by; those without one are left out."""
     rows = banded.filter("band_order is not null")
-    return _rates(_distinct(rows, ["band_order", "band"], {f"actual_{s}_cnt": c for s, c in funnel_flags().items()}))
+    return _rates(_distinct(rows, [*by, "band_order", "band"], {f"actual_{s}_cnt": c for s, c in funnel_flags().items()}))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreloom.functions.columns import additive, ratio
+from scoreloom.functions.columns import additive, distinct_flags, ratio
 from scoreloom.functions.ordering import RISING, Ordering
 from scoreloom.operators.bands import NAMES, rates
 from scoreloom.settings import Limits, Policy
@@ -234,9 +234,7 @@ def flow(df: DataFrame, plan_: DataFrame, score: str = "score_mlt", ordering: Or
     keys = ["auto_pass_threshold", "reject_threshold"]
     test = {"Train": F.col("sample_group") == "train", "OOT": F.col("sample_group") == "oot", "All": F.lit(True)}
     flags = {f"{g}_{s}": c if s == "total" else c & (F.col("decision") == s) for g, c in test.items() for s in ("total", *SEGMENTS)}
-    # An application's rows meet first, so that one shuffle counts every flag.
-    each = rows.groupBy(*keys, "application_id").agg(*[F.max(c).alias(n) for n, c in flags.items()])
-    one = each.groupBy(*keys).agg(*[F.count_if(n).alias(n) for n in flags])
+    one = distinct_flags(rows, keys, "application_id", flags)
     tall = one.select(*keys, F.explode(F.array(*[F.struct(F.lit(g).alias("sample_group"), *[F.col(f"{g}_{s}").alias(s) for s in ("total", *SEGMENTS)]) for g in test])).alias("r")).select(*keys, "r.*")
     accepted = F.col("auto_pass") + F.col("manual_review")
     return tall.select(

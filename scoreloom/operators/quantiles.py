@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreloom.functions.keys import BITS, double_of, leading, order_key
+from scoreloom.functions.keys import BITS, double_of, leading, with_key
 
 #: Bits that a pass tells apart, so that it counts at most 65,536 of them in each stretch that is asked for.
 STEP = 16
@@ -24,7 +24,7 @@ def quantiles_by(df: DataFrame, value: str, shares: Sequence[float], by: Sequenc
     stretches hold few rows, or after four passes, when all bits are known.
     """
     by, count = list(by), len(by)
-    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, order_key(F.col(value)).alias("__key"))
+    rows = with_key(df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, value), F.col(value), "__key").select(*by, "__key")
     asked: list[tuple] | None = None
     shares = [float(q) for q in shares]
     sizes: dict[tuple, int] = {}
@@ -41,15 +41,16 @@ def quantiles_by(df: DataFrame, value: str, shares: Sequence[float], by: Sequenc
             counted = counted.withColumns({"__size": n, "__ranks": ranks, "__base": F.lit(0).cast("long")})
             within = group.orderBy("__at")
         else:
-            schema = ", ".join([*(f"`{k.name}` {k.dataType.simpleString()}" for k in kinds), "__from long, __base long, __rows long, __ranks array<bigint>"])
-            targets = df.sparkSession.createDataFrame([(*t[:count], *t[count:]) for t in asked], schema)
+            schema = ", ".join([*(f"`{k.name}` {k.dataType.simpleString()}" for k in kinds), "__from long, __base long, __rows long, __ranks array<bigint>, __stretch int"])
+            targets = df.sparkSession.createDataFrame([(*t, k) for k, t in enumerate(asked)], schema)
             same = leading(F.col("__key"), bits) == F.col("__from")
             for c in by:
                 same &= F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}"))
-            # Two rows for each share and group at most.
-            met = rows.alias("r").join(F.broadcast(targets.alias("t")), same).select(*[F.col(f"r.{c}").alias(c) for c in by], "__from", "__base", "__ranks", leading(F.col("__key"), more).alias("__at"))
-            counted = met.groupBy(*by, "__from", "__base", "__ranks", "__at").agg(F.count(F.lit(1)).alias("__n")).withColumn("__size", F.lit(0).cast("long"))
-            within = Window.partitionBy(*by, "__from").orderBy("__at")
+            # Two rows for each share and group at most; rows are counted by numbers alone.
+            met = rows.alias("r").join(F.broadcast(targets.alias("t")), same).select("__stretch", leading(F.col("__key"), more).alias("__at"))
+            counted = met.groupBy("__stretch", "__at").agg(F.count(F.lit(1)).alias("__n")).withColumn("__size", F.lit(0).cast("long"))
+            counted = counted.join(F.broadcast(targets), "__stretch")
+            within = Window.partitionBy("__stretch").orderBy("__at")
         before = F.col("__base") + F.coalesce(F.sum("__n").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         placed = counted.withColumn("__before", before)
         hit = F.filter("__ranks", lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__n")))

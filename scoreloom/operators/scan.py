@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreloom.functions.keys import leading, order_key
+from scoreloom.functions.keys import leading, with_key
 
 TOP, STRETCH = 16, 24
 
@@ -20,8 +20,8 @@ TOP, STRETCH = 16, 24
 def ordered(rows: DataFrame, by: Sequence[str], value: str, sums: Sequence[str]) -> DataFrame:
     """rows(by, value, sums), each value once in its group, with before_<c>, the sum over all smaller values, and total_<c>."""
     by = list(by)
-    key = order_key(F.col(value))
-    placed = rows.withColumn("__part", leading(key, STRETCH))
+    rows = rows.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    placed = with_key(rows, F.col(value), "__key").withColumn("__part", leading(F.col("__key"), STRETCH)).drop("__key")
     names = lambda prefix: [f"__{prefix}_{c}" for c in sums]
     parts = placed.groupBy(*by, "__part").agg(*[F.sum(c).alias(n) for c, n in zip(sums, names("own"))]).withColumn("__top", F.shiftright("__part", STRETCH - TOP))
     so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)

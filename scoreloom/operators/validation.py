@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions.columns import ratio
@@ -21,17 +21,20 @@ def auc_ks(df: DataFrame, score: str = "score_mlt", high_is_bad: bool = True) ->
     """
     s = F.col(score).cast("double") if high_is_bad else -F.col(score).cast("double")
     rows = df.filter(F.col("sample_group").isin("train", "oot") & F.col(score).isNotNull() & ~F.isnan(score))
-    labels = F.explode(F.array(*[F.struct(F.lit(h.label).alias("label"), F.col(h.label).alias("y")) for h in HORIZONS]))
-    cases = rows.select("sample_group", s.alias("s"), labels.alias("l")).select("sample_group", "s", "l.label", F.when(F.col("l.y").isin(0, 1), F.col("l.y")).alias("y"))
-    # Labels that are not known count no case, but keep their group in the result.
-    histogram = cases.groupBy("sample_group", "label", "s").agg(F.count_if(F.col("y") == 1).alias("b"), F.count_if(F.col("y") == 0).alias("g"))
-    group = ["sample_group", "label"]
-    seen = ordered(histogram, group, "s", ["b", "g"]).withColumns({"cb": F.col("before_b") + F.col("b"), "cg": F.col("before_g") + F.col("g"), "bads": F.col("total_b"), "goods": F.col("total_g")})
-    rank = F.col("cb") + F.col("cg") - F.col("b") - F.col("g") + (F.col("b") + F.col("g") + 1) / 2
-    gap = F.abs(ratio("cb", "bads") - ratio("cg", "goods"))
-    out = seen.groupBy(*group).agg(
-        F.sum(F.col("b") + F.col("g")).alias("n"), F.max("bads").alias("bad_cnt"), F.max("goods").alias("good_cnt"), F.sum(F.col("b") * rank).alias("rank_sum"), F.max(gap).alias("gap")
-    )
+    # All labels share one histogram. Those that are not known count no case, but keep their group in the result.
+    counted = {f"{m}_{side}": F.count_if(F.col(h.label) == y) for m, h in zip(NAMES, HORIZONS) for side, y in (("b", 1), ("g", 0))}
+    histogram = rows.withColumn("s", s).groupBy("sample_group", "s").agg(*[c.alias(n) for n, c in counted.items()])
+    seen = ordered(histogram, ["sample_group"], "s", list(counted))
+
+    def figures(m: str, label: str) -> Column:
+        b, g, before_b, before_g, bads, goods = (F.col(f"{p}{m}_{side}") for p in ("", "before_", "total_") for side in ("b", "g"))
+        rank = before_b + before_g + (b + g + 1) / 2
+        gap = F.abs(ratio(before_b + b, bads) - ratio(before_g + g, goods))
+        parts = {"n": F.sum(b + g), "bad_cnt": F.max(bads), "good_cnt": F.max(goods), "rank_sum": F.sum(b * rank), "gap": F.max(gap)}
+        return F.struct(F.lit(label).alias("label"), *[c.alias(n) for n, c in parts.items()])
+
+    tall = seen.groupBy("sample_group").agg(F.array(*[figures(m, h.label) for m, h in zip(NAMES, HORIZONS)]).alias("l"))
+    out, group = tall.select("sample_group", F.inline("l")), ["sample_group", "label"]
     both = (F.col("bad_cnt") > 0) & (F.col("good_cnt") > 0)
     pairs = F.col("bad_cnt").cast("double") * F.col("good_cnt")
     auc = F.try_divide(F.col("rank_sum") - F.col("bad_cnt") * (F.col("bad_cnt").cast("double") + 1) / 2, pairs)

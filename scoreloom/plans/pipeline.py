@@ -140,7 +140,18 @@ class Run:
 
     @cached_property
     def performance(self) -> DataFrame:
-        return validation.auc_ks(self.scored, high_is_bad=self.settings.search.high_is_bad)
+        """A row for each sample and label; computed once, as several sections tell it."""
+        return self.timed("performance", lambda: small(validation.auc_ks(self.scored, high_is_bad=self.settings.search.high_is_bad), MOST_BINS))
+
+    @cached_property
+    def flow(self) -> DataFrame:
+        return self.timed("flow", lambda: small(policy.flow(self.scored, self.plan, ordering=self.ordering), MOST_BINS))
+
+    @cached_property
+    def band_funnel(self) -> DataFrame:
+        """The funnel of both samples by band, in one scan."""
+        rows = self.banded.filter(F.col("sample_group").isin("train", "oot"))
+        return self.timed("band funnel", lambda: small(funnel.by_band(rows, "sample_group"), 2 * MOST_BINS))
 
     @cached_property
     def monthly(self) -> DataFrame:
@@ -149,7 +160,7 @@ class Run:
     def enriched(self, group: str) -> DataFrame:
         """Bands of a sample with diagnostics, funnel, stability and decision; a band twice on either side of the funnel, or twice in the stability, fails."""
         stats = bands.diagnostics(self.sample_bands(group), "band_order", self.settings.search.smoothing, self.ordering)
-        steps = funnel.by_band(self.banded.filter(F.col("sample_group") == group)).drop("band")
+        steps = self.band_funnel.filter(F.col("sample_group") == group).drop("sample_group", "band")
         drift = self.psi.select("band_order", F.col("psi_component").alias("train_oot_psi_component"), F.col("psi_total").alias("train_oot_psi_total"))
         out = contracts.one_to_one(stats, steps, ["band_order"], "band funnel")
         out = contracts.many_to_one(out, drift, ["band_order"], "band stability")
@@ -159,7 +170,7 @@ class Run:
     def band_report(self) -> DataFrame:
         """Bands of both samples, with what the plan does to each sample as a whole and how well the score ranks it."""
         rows = self.enriched("train").unionByName(self.enriched("oot"))
-        flow = policy.flow(self.scored, self.plan, ordering=self.ordering).withColumn("sample_group", F.lower("sample_group"))
+        flow = self.flow.withColumn("sample_group", F.lower("sample_group"))
         overall = flow.select("sample_group", *[F.col(f"estimated_{r}_rate").alias(f"estimated_overall_{r}_rate") for r in ("auto_pass", "manual_review", "total_accept", "reject")])
         ranked = validation.performance_wide(self.performance)
         ranked = ranked.select("sample_group", *[F.col(c).alias(f"overall_{c}") for c in ranked.columns if c != "sample_group"])

@@ -108,7 +108,7 @@ def sections(run: Run) -> Sections:
         "03_bands": {"bands": run.band_report()},
         "04_policy": {
             "actual_funnel": funnel.by_group(run.completed),
-            "estimated_flow": policy.flow(run.scored, run.plan, ordering=run.ordering),
+            "estimated_flow": run.flow,
             "threshold_selection": policy.selection(run.curve, run.plan, p),
             "plan": run.plan,
             "sensitivity": policy.sensitivity(run.curve, run.plan),
