@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions.keys import BITS, double_of, leading, with_key
+from scoreloom.functions.ordering import RISING, Ordering
 
 #: Bits that a pass tells apart, so that it counts at most 65,536 of them in each stretch that is asked for.
 STEP = 16
@@ -77,9 +78,18 @@ def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> list[
     return quantiles_by(df, value, shares).get((), [])
 
 
-def equal_frequency_edges(train: DataFrame, score: str = "score_mlt", bins: int = 20) -> tuple[float, ...]:
-    """Distinct quantile edges with infinite ends; fails if less than two are left."""
-    inner = sorted(set(exact_quantiles(train, score, [k / bins for k in range(bins + 1)])))
+def equal_frequency_edges(train: DataFrame, score: str = "score_mlt", bins: int = 20, ordering: Ordering = RISING) -> tuple[float, ...]:
+    """Distinct quantile edges with infinite ends; fails if less than two are left.
+
+    Ranks are counted from the safe end: a share times the rows is rounded, so that counted from the other end
+    an edge may lie just beside the score that it else is.
+    """
+    shares = [k / bins for k in range(bins + 1)]
+    if ordering.high_is_bad:
+        found = exact_quantiles(train, score, shares)
+    else:
+        found = [0.0 - x for x in exact_quantiles(train.select((-F.col(score)).alias(score)), score, shares)]
+    inner = sorted(set(found))
     if len(inner) < 2:
         raise ValueError("fewer than two distinct edges")
     return (-math.inf, *inner[1:-1], math.inf)

@@ -75,7 +75,7 @@ class Run:
     @cached_property
     def edges(self) -> tuple[float, ...]:
         """Learned on training rows alone."""
-        return self.timed("edges", lambda: quantiles.equal_frequency_edges(self.train, bins=self.settings.search.bins))
+        return self.timed("edges", lambda: quantiles.equal_frequency_edges(self.train, bins=self.settings.search.bins, ordering=self.ordering))
 
     @cached_property
     def edge_table(self) -> DataFrame:

@@ -15,6 +15,16 @@ from scoreloom.plans.pipeline import Run
 from scoreloom.plans.queries import SETTINGS
 
 
+@pytest.mark.parametrize("n", [91, 101, 181])
+def test_edges_of_either_end_are_the_same_scores(spark, n):
+    # With these sizes a share times the rows is whole from one end and just beside it from the other.
+    rng = random.Random(n)
+    df = spark.createDataFrame([("4.Funded", "2000-01", rng.random()) for _ in range(n)], "application_status string, application_month string, score_mlt double")
+    up = Run(df, SETTINGS).edges
+    down = Run(df.withColumn("score_mlt", -F.col("score_mlt")), replace(SETTINGS, search=replace(SETTINGS.search, high_is_bad=False))).edges
+    assert down == tuple(-x for x in reversed(up))
+
+
 def test_a_key_is_made_once_for_a_row(spark):
     df = spark.createDataFrame([(1.5, 1), (-0.25, 2), (0.0, 1)], "x double, n long")
     made = with_key(df, F.col("x"), "k").select("k", order_key(F.col("x")).alias("want"))
