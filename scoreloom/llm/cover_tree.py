@@ -37,15 +37,15 @@ from scoreloom.llm.simhash_bktree import connected
 
 LEAST_COSINE = 0.98
 #: Points of a cell up to which one task takes it as it is, and visitors that it takes at a time.
-SHARD = 1024
+SHARD = 16384
 #: Points that a cell's centres are chosen from, and centres at most.
 CANDIDATES, CENTRES = 256, 64
-#: Parts in which the rows of a cell meet figures of the cell, so that a large one is in as many tasks.
-SPREAD = 32
 #: Rounds of division, after which a cell is dealt out in parts that all meet.
 ROUNDS = 12
 #: Points up to which a node is not divided, and what bounds give away to rounding: a distance near 0 is off by up to 4e-8.
 BUCKET, SLACK = 8, 1e-6
+#: Points by which it is tried if a radius covers any others, parts of a node at most, and points of the stretches that the rest is dealt into.
+TRIED, PARTS, STRETCH = 128, 256, 512
 
 
 def reach(cosine: float) -> float:
@@ -85,23 +85,41 @@ class CoverTree:
         if r < SLACK:
             return
         left, centre, parts = self.order[a:b], self.centre[node], []
-        while len(left):
+        # Where points lie too far apart to cover each other, a net would be all of them; they are compared in stretches.
+        few = left[:: max(1, len(left) // TRIED)]
+        flat = 2 * _covering(points[few], r, len(few) // 2 + 1) > len(few)
+        if flat and len(left) <= STRETCH:
+            return
+        while len(left) and len(parts) < PARTS and not flat:
             d = distance(points[left] @ points[centre])
             near = d <= r
             near |= left == centre
             parts.append((left[near], centre, float(d[near].max())))
             left = left[~near]
             centre = left[0] if len(left) else -1
+        divided = len(parts)
+        for k in range(0, len(left), STRETCH):
+            members = left[k : k + STRETCH]
+            parts.append((members, members[0], float(distance(points[members] @ points[members[0]]).max())))
         self.kids[node] = (len(self.start), len(self.start) + len(parts))
         at = a
-        for members, c, far in parts:
+        for k, (members, c, far) in enumerate(parts):
             self.order[at : at + len(members)] = members
             self.start.append(at)
             self.end.append(at := at + len(members))
             self.centre.append(c)
             self.radius.append(far)
             self.kids.append((0, 0))
-            level.append((len(self.start) - 1, r))
+            if k < divided:
+                level.append((len(self.start) - 1, r))
+
+
+def _covering(points: np.ndarray, r: float, most: int) -> int:
+    """How many balls of radius r around points cover all, or `most` if more than that."""
+    found = 0
+    while len(points) and found < most:
+        points, found = points[distance(points @ points[0]) > r], found + 1
+    return found
 
 
 class Links:
@@ -168,6 +186,17 @@ def traverse(p: CoverTree, q: CoverTree, p_at: int, q_at: int, links: Links, cos
         xs, ys = parts(p, x), parts(q, y)
         c = p.points[xs[1]] @ q.points[ys[1]].T
         work += c.size
+        if not len(xs[0]) or not len(ys[0]):
+            continue
+        if xs[0][0] < 0 and ys[0][0] < 0:
+            # Points with points: nothing is left open.
+            linked = c >= cosine
+            if same and x == y:
+                linked = np.triu(linked, 1)
+            i, j = np.nonzero(linked)
+            if len(i):
+                links.link(p_at + xs[3][i], p_at + xs[4][i], q_at + ys[3][j], q_at + ys[4][j])
+            continue
         single = ((xs[4] - xs[3])[:, None] == 1) & ((ys[4] - ys[3])[None, :] == 1)
         d, spread = distance(c), xs[2][:, None] + ys[2][None, :]
         linked = np.where(single, c >= cosine, d + spread <= far - SLACK)
@@ -264,11 +293,14 @@ def _divided(rows: DataFrame, k: int, cosine: float) -> DataFrame:
         if not len(frame):
             return pd.DataFrame(columns=["cell", "node", "home", "weight", "unit", "far"])
         points = matrix(frame["unit"].tolist())
-        d = distance(points @ matrix([given["centres"].iloc[0]]).reshape(-1, points.shape[1]).T)
+        centre = matrix([given["centres"].iloc[0]]).reshape(-1, points.shape[1])
+        d = distance(points @ centre.T)
         best = d.argmin(axis=1)
         home = frame["home"].to_numpy(bool)
         # A visitor goes wherever a point within reach may be; a member only to cells in front of its own.
-        visits = d <= d.min(axis=1)[:, None] + 2 * far + SLACK
+        # Such a point lies on the other side of the plane halfway between the two centres, which must be within reach.
+        apart = distance(centre @ centre.T)[best]
+        visits = d**2 <= d.min(axis=1)[:, None] ** 2 + 2 * far * apart + SLACK
         visits &= ~home[:, None] | (np.arange(d.shape[1])[None, :] < best[:, None])
         i, j = np.nonzero(visits)
         at = np.concatenate([np.flatnonzero(home), i])
@@ -282,15 +314,14 @@ def _divided(rows: DataFrame, k: int, cosine: float) -> DataFrame:
 
 
 def _told(rows: DataFrame, figures: DataFrame) -> DataFrame:
-    """rows with the figures of their cell, joined in SPREAD parts."""
-    copies = figures.withColumn("spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    return rows.withColumn("spread", F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int")).join(copies, ["cell", "spread"]).drop("spread")
+    """rows with the figures of their cell; cells are one for some thousand points, so that rows stay where they are."""
+    return rows.join(F.broadcast(figures), "cell")
 
 
 def shards(points: DataFrame, cosine: float = LEAST_COSINE) -> DataFrame:
     """Rows of cells that are small, tight or were divided often enough, with members, visitors and tight of their cell."""
     far = reach(cosine)
-    rows = store(points.select("cell", "node", F.lit(True).alias("home"), "weight", "unit", F.lit(None).cast("double").alias("far")), "cells-0")
+    rows = points.select("cell", "node", F.lit(True).alias("home"), "weight", "unit", F.lit(None).cast("double").alias("far"))
     done = None
     for k in range(ROUNDS + 1):
         stats = rows.groupBy("cell").agg(F.count_if("home").alias("members"), F.max(F.when(F.col("home"), F.col("far"))).alias("radius"))
@@ -302,7 +333,8 @@ def shards(points: DataFrame, cosine: float = LEAST_COSINE) -> DataFrame:
         large = (F.col("members") > SHARD) & ~F.col("tight") if k < ROUNDS else F.lit(False)
         small = met.filter(~large)
         done = small if done is None else done.unionByName(small)
-        discard(rows)
+        if k:
+            discard(rows)
         if k == ROUNDS or met.filter(large).isEmpty():
             return done
         rows = store(_divided(met.filter(large).select("cell", "node", "home", "weight", "unit", "far", "radius", "members", "present"), k, cosine), f"cells-{k + 1}")
@@ -356,9 +388,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = LEAST_COSINE) -> DataFra
     found = store(links(unit_bytes(cells), cosine), "links")
     totals = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected(found.filter("root != node").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    named = points.select("label", "embedding", "node", "least_id", "weight").join(totals, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # The vectors themselves come in last, so that they are shuffled once.
+    named = points.select("node", "least_id", "weight").join(totals, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    known = named.join(ids, "root").select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
+    told = named.join(ids, "root").select("node", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
+    known = points.select("label", "embedding", "node").join(told, "node").drop("node")
     linked = rows.filter(usable).join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     return linked.unionByName(rows.filter(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
 

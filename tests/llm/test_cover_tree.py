@@ -134,3 +134,18 @@ def test_sql(spark, sf):
     con.execute(f"create view embeddings as select * from read_parquet('{sf}/embeddings.parquet')")
     got = ct.op12(spark.read.parquet(f"{sf}/embeddings.parquet")).collect()
     assert sorted(map(tuple, got)) == sorted(con.execute(ct.ORACLE).fetchall())
+
+
+def test_points_that_cover_no_others_are_compared_in_stretches():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 64))
+    x[1500:1520] = x[:20] + 0.01 * rng.normal(size=(20, 64))
+    u, near = pairs(x)
+    tree = ct.CoverTree(u)
+    # One node for some hundred points, not one for each.
+    assert len(tree.start) < 20 and max(tree.end[a] - tree.start[a] for a in range(len(tree.start)) if tree.kids[a] == (0, 0)) <= 512
+    links = ct.Links(np.ones(3000, np.int64))
+    ct.traverse(tree, tree, 0, 0, links)
+    back = np.empty(3000, np.int64)
+    back[tree.order] = links.found()[0]
+    assert back.tolist() == near.sum(axis=1).tolist() and back.sum() == 40
