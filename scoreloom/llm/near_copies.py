@@ -293,16 +293,21 @@ def similarity_test(sets: list[np.ndarray]) -> Callable[[int, np.ndarray], np.nd
     return holds
 
 
-def _dealt(members: DataFrame, weight: Column, limit: int) -> DataFrame:
-    """members(bucket, key, ...) with (bucket, low, high, own) in front; the rows of two cuts, or of a shard that is not cut, together in a partition."""
+def _dealt(members: DataFrame, weight: Column, limit: int, sets: DataFrame | None = None) -> DataFrame:
+    """members(bucket, key, fp, root) with (bucket, low, high, own) in front; the rows of two cuts, or of a shard that is not cut, together in a partition.
+
+    The hashes of sets(key, hashes), if given, come last; they are moved once, to where their rows are dealt.
+    """
     sizes = members.groupBy("bucket").agg(F.ceil(F.sum(weight) / limit).cast("int").alias("cuts")).filter("cuts > 1")
     cuts = F.coalesce("cuts", F.lit(1))
     own = F.pmod(F.xxhash64("key"), cuts).cast("int")
-    rest = [c for c in members.columns if c != "bucket"]
+    rest = ["key", "fp", "root"]
     # Every row of a shard that is cut goes to a task for each cut.
     cut = members.join(sizes, "bucket", "left").withColumn("own", own)
     dealt = cut.select("*", F.explode(F.sequence(F.lit(0), cuts - 1)).alias("other"))
     placed = dealt.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", *rest)
+    if sets is not None:
+        placed = placed.join(sets, "key").select(*placed.columns, "hashes")
     return placed.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "own", F.xxhash64("key"))
 
 
@@ -329,12 +334,12 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
         yield from packed()
 
 
-def _forests(members: DataFrame) -> DataFrame:
+def _forests(members: DataFrame, sets: DataFrame | None = None) -> DataFrame:
     """(a, b): for each shard a forest of links between documents of different roots; members(bucket, key, fp, root).
 
-    With a column hashes, their shingle sets, the links are those at NEAR or more, and no others stand for them.
+    With their shingle sets(key, hashes) the links are those at NEAR or more, and no others stand for them.
     """
-    exact = "hashes" in members.columns
+    exact = sets is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, keys, fps, roots, sets, left in _shards(batches):
@@ -343,8 +348,10 @@ def _forests(members: DataFrame) -> DataFrame:
             if len(pair):
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
-    weight, limit = (F.size("hashes"), HASHES) if exact else (F.lit(1), SHARD)
-    return _dealt(members, weight, limit).mapInArrow(run, "a long, b long").distinct()
+    if exact:
+        members = members.join(sets.select("key", F.size("hashes").alias("n")), "key")
+    weight, limit = (F.col("n"), HASHES) if exact else (F.lit(1), SHARD)
+    return _dealt(members, weight, limit, sets).mapInArrow(run, "a long, b long").distinct()
 
 
 def _open(members: DataFrame) -> DataFrame:
@@ -364,25 +371,22 @@ def groups(keyed: DataFrame) -> DataFrame:
     """(key, group) for every row of keyed(key, text), whose keys are distinct."""
     signed = store(_signatures(keyed.select("key", "text")), "signatures")
     firsts = store(signed.groupBy("equal").agg(F.min("key").alias("key")), "equal-sets")
-    alone = signed.join(firsts.select("key"), "key", "left_semi").select("key", "fp", F.explode("bands").alias("bucket"))
+    alone = signed.join(firsts.select("key"), "key", "left_semi").select("key", F.explode("bands").alias("bucket"))
     sizes = alone.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    shared = store(alone.join(sizes, "bucket").select("bucket", "key", "fp"), "shards")
-    texts = keyed.select("key", "text")
-
-    def held(keys: DataFrame) -> DataFrame:
-        return store(_sets(texts.join(keys.distinct(), "key", "left_semi")), "sets")
-
+    # Most bands are one document's, so fingerprints only join those that are not.
+    dealt = alone.join(sizes, "bucket", "left_semi")
+    shared = store(dealt.join(signed.select("key", "fp"), "key").select("bucket", "key", "fp"), "shards")
     pairs = store(_forests(shared.withColumn("root", F.col("key"))), "candidates")
-    sets = held(pairs.select(F.explode(F.array("a", "b")).alias("key")))
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    # Every document with another within the radius in a shard is in a forest, so these sets are the second pass's too.
+    sets = store(_sets(keyed.select("key", "text").join(keys, "key", "left_semi")), "sets")
     edges = store(_confirmed(pairs, sets), "confirmed")
     discard(pairs)
-    discard(sets)
     roots = connected(edges)
     rooted = shared.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     apart = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket")
     left = store(_open(rooted.join(apart, "bucket", "left_semi").select("bucket", "key", "fp", "root")), "open")
-    sets = held(left.select("key"))
-    more = store(_forests(left.join(sets, "key").select("bucket", "key", "fp", "root", "hashes")), "links")
+    more = store(_forests(left, sets), "links")
     discard(left)
     discard(sets)
     if not more.isEmpty():
@@ -398,4 +402,6 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     ids = keyed.select("__key", F.col("doc_id").cast("long").alias("__id")).join(found, "__key")
     first = F.min(F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__key").alias("key"))).alias("first")
     kept = ids.groupBy("__group").agg(first).select(F.col("first.key").alias("__key"))
-    return keyed.join(kept, "__key", "left_semi").select(*docs.columns)
+    # The rows that go are few; stored, their size is known, so that texts are not shuffled where Spark can broadcast them.
+    gone = store(ids.select("__key").join(kept, "__key", "left_anti"), "gone")
+    return keyed.join(gone, "__key", "left_anti").select(*docs.columns)

@@ -161,3 +161,26 @@ def test_a_tree_is_searched_along_edges_within_the_radius():
     assert len(tree.within(fps, np.zeros(1200, int), np.full(1200, 1200), np.zeros(1200, int))[0]) == 0 and tree.compared == 0
     tree = near_copies.BKTree(fps[:1].repeat(500, 0), np.arange(500))
     assert len(tree.within(fps[:1], np.array([-1]), np.array([500]), np.arange(500))[0]) == 500 and tree.compared == 1
+
+
+def test_texts_sets_and_fingerprints_are_moved_once(spark, sf, monkeypatch):
+    plans, made = {}, []
+    store, sets = near_copies.store, near_copies._sets
+
+    def stored(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return store(df, name)
+
+    monkeypatch.setattr(near_copies, "store", stored)
+    monkeypatch.setattr(near_copies, "_sets", lambda keyed: made.append(1) or sets(keyed))
+    docs = cases.with_clashes(spark, families())
+    kept = near_copies.keep_one_each(docs)
+    assert Counter(str(r["doc_id"]) for r in kept.collect()) == Counter(brute_kept(families()))
+    # Texts stay where they are if the rows that go are few.
+    assert "BroadcastHashJoin" in kept._jdf.queryExecution().sparkPlan().toString()
+    # Sets join what is dealt already: only the two sides of that join and the dealing move them.
+    assert plans["links"].index("RepartitionByExpression") < plans["links"].index("Join Inner") < plans["links"].index("Generate explode(sequence")
+    assert len(made) == 1
+    # What every band is dealt with is its document's key.
+    dealt = re.findall(r"Generate explode\(bands#\d+\).*\n.*Project \[(.*)\]", plans["shards"])
+    assert dealt and not any("fp#" in columns for columns in dealt)
