@@ -89,6 +89,41 @@ def _parameters() -> zstandard.ZstdCompressionParameters:
     )
 
 
+#: The predefined distributions of RFC 8878, 3.1.1.3.2.2 with their accuracy: offsets, match lengths, literal lengths.
+PREDEFINED = (
+    (5, [1] * 6 + [2] * 3 + [1] * 15 + [-1] * 5),
+    (6, [1, 4, 3] + [2] * 6 + [1] * 37 + [-1] * 7),
+    (6, [4, 3] + [2] * 11 + [1] * 3 + [2] * 9 + [3, 2] + [1] * 5 + [-1] * 4),
+)
+
+
+def _table(accuracy: int, shares: list[int]) -> bytes:
+    """An FSE table description as in RFC 8878, 4.1.1, of shares without a zero."""
+    bits, at = accuracy - 5, 4
+    left, threshold, width = (1 << accuracy) + 1, 1 << accuracy, accuracy + 1
+    for share in shares:
+        short = 2 * threshold - 1 - left
+        left -= abs(share)
+        value = share + 1 + (short if share + 1 >= threshold else 0)
+        bits |= value << at
+        at += width - (value < short)
+        while left < threshold:
+            threshold >>= 1
+            width -= 1
+    return bits.to_bytes(-(-at // 8), "little")
+
+
+def formatted(content: bytes) -> bytes:
+    """Content as a dictionary in the format of RFC 8878, 5, under which a window is as long as under the raw content.
+
+    Its tables are the predefined ones, which a frame after raw content uses as well but makes anew each time, at
+    nearly half of a window's cost. Its Huffman table knows two bytes only, and literals of a window are too few for any.
+    """
+    tables = b"".join(_table(*x) for x in PREDEFINED)
+    offsets = b"".join(x.to_bytes(4, "little") for x in (1, 4, 8))
+    return b"\x37\xa4\x30\xec" + (1).to_bytes(4, "little") + b"\x80\x10" + tables + offsets + content
+
+
 def prepared(text: str | None) -> bytes:
     """What windows are cut from: the whole text in UTF-8, A-Z in lower case."""
     return (text or "").encode("utf-8", "surrogatepass").lower()
@@ -112,27 +147,39 @@ class Margins:
         parameters = _parameters()
 
         def compressor(content: bytes) -> zstandard.ZstdCompressor:
-            d = zstandard.ZstdCompressionDict(background + content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d = zstandard.ZstdCompressionDict(formatted(background + content), dict_type=zstandard.DICT_TYPE_FULLDICT)
             d.precompute_compress(compression_params=parameters)
             return zstandard.ZstdCompressor(dict_data=d, compression_params=parameters)
 
         self.sides = [(compressor(p.ordinary), compressor(p.toxic)) for p in pairs]
 
     @staticmethod
-    def _lengths(side: zstandard.ZstdCompressor, parts: list[bytes]) -> np.ndarray:
+    def _lengths(side: zstandard.ZstdCompressor, parts: zstandard.BufferWithSegments) -> np.ndarray:
         if len(parts) < 2:
-            return np.array([len(side.compress(x)) for x in parts], np.int32)
-        made = side.multi_compress_to_buffer(parts, threads=0)
-        return np.fromiter((len(made[k]) for k in range(len(made))), np.int32, len(parts))
+            return np.array([len(side.compress(parts[k])) for k in range(len(parts))], np.int32)
+        return np.fromiter(map(len, side.multi_compress_to_buffer(parts, threads=0)), np.int32, len(parts))
 
-    def of(self, data: bytes, starts: np.ndarray) -> np.ndarray:
+    def _between(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         out = np.zeros(len(starts), np.int32)
         for at in range(0, len(starts), PART):
-            parts = [data[k : k + WINDOW] for k in starts[at : at + PART].tolist()]
+            start, end = starts[at : at + PART], ends[at : at + PART]
+            parts = zstandard.BufferWithSegments(data, np.stack([start, end - start], axis=1).astype(np.uint64).tobytes())
             for ordinary, toxic in self.sides:
                 out[at : at + PART] += self._lengths(ordinary, parts) - self._lengths(toxic, parts)
         return out
 
+    def of(self, data: bytes, starts: np.ndarray) -> np.ndarray:
+        return self._between(data, starts, np.minimum(starts + WINDOW, len(data)))
+
+    def of_texts(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The margins of all windows of each text; the texts go to zstandard together."""
+        starts = [window_starts(len(x)) for x in texts]
+        sizes = np.array([len(x) for x in starts])
+        until = np.cumsum([len(x) for x in texts])
+        first = np.concatenate([x + (end - len(t)) for x, t, end in zip(starts, texts, until)])
+        found = self._between(b"".join(texts), first, np.minimum(first + WINDOW, np.repeat(until, sizes)))
+        return np.split(found, np.cumsum(sizes)[:-1])
+
 
 def histograms(margins: np.ndarray) -> np.ndarray:
     """How often each margin of single windows and of runs of three occurs, one after another."""
@@ -176,14 +223,17 @@ class Scorer:
         self.model, self.margins = model, Margins(model.background, model.pairs)
 
     def histogram(self, text: str | None) -> np.ndarray:
-        data = prepared(text)
-        return histograms(self.margins.of(data, window_starts(len(data))))
+        return histograms(self.margins.of_texts([prepared(text)])[0])
 
-    def score(self, text: str | None) -> float:
+    def scores(self, texts: list[str | None]) -> list[float]:
+        """The scores of one text or more."""
         m = self.model
-        x = measures(self.histogram(text), m.cuts)
-        z = np.append((x - m.mean) / m.spread, 1.0) @ np.array(m.weights)
-        return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+        mean, spread, weights = (np.array(x) for x in (m.mean, m.spread, m.weights))
+        out = []
+        for margins in self.margins.of_texts([prepared(x) for x in texts]):
+            z = np.append((measures(histograms(margins), m.cuts) - mean) / spread, 1.0) @ weights
+            out.append(float(1 / (1 + np.exp(-np.clip(z, -500, 500)))))
+        return out
 
 
 def _signature(text: str | None) -> list[int]:
@@ -360,7 +410,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             scorer = Scorer(shared.value)
             for batch in batches:
                 for at, texts in slices(batch, 2):
-                    found = pa.array([scorer.score(t) for t in texts], pa.float64())
+                    found = pa.array(scorer.scores(texts), pa.float64())
                     part = batch.slice(at, len(texts))
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), found], ["doc_id", "held_out", "score"])
 
