@@ -1,12 +1,13 @@
 """Brown class n-gram scoring: exchange clustering, class transitions, word emissions.
 
 The corpus is tokenized once into stored blocks: each holds the distinct words of some documents,
-their training counts, and the documents as codes into those words. All later passes read blocks.
+their training counts, and the documents as codes into those words. All later passes read blocks. A block
+is one row of megabytes; rows are written, read and handed to Python one at a time, however many a file or task has.
 
 * Exchange clustering: the CORE most frequent words move, round by round, each to the class that
-  raises the class bigrams' likelihood most, from bigram counts over the whole training text. Each
-  task sums what its blocks hold of a range of words; the move of a range is decided in one task of
-  fixed size. Half of the words may move in a round, so that neighbours do not swap; a round that
+  raises the class bigrams' likelihood most, from bigram counts over the whole training text. These are
+  counted once, into a row for each range of words; a round reads them and no block, and a range is decided
+  by its own row. Half of the words may move in a round, so that neighbours do not swap; a round that
   loses is taken back, and from then on half as many move at a time. Rounds go on until two of them
   gain less than CONVERGED of all that was gained so far, or none of a whole turn gains anything.
 * Which words are the most frequent ones is exact: no word outside the blocks' own tops and above a
@@ -36,10 +37,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import discard, fold, store
+from scoreloom.llm.common import discard, fold, small_batches, store
 
 FOLDS = 7
 HELD_OUT = 2
@@ -51,8 +52,8 @@ CORE = 8192
 CONVERGED = 0.01
 #: A bound for the exchange's rounds that no corpus should meet; it raises beyond.
 MOST_ROUNDS = 200
-#: Words whose moves one task decides.
-RANGE = 512
+#: Words whose neighbours are one row, and whose moves are decided together; it bounds a row, not the result.
+RANGE = 64
 #: Tokens of a block, about.
 BLOCK_TOKENS = 1_250_000
 BLOCK_CHARS = 1_000_000
@@ -186,29 +187,88 @@ class Core:
         return np.append(self.classes, CLASSES + 1).astype(np.uint8)[self.codes_of(words)]
 
 
-def _contexts(stored: DataFrame, core: Core) -> DataFrame:
-    """(range, share, sums): per range of core words, counts of (word, side, class) over training text."""
-    n, wide = len(core.words), CLASSES + 2
+def _pair_row(r: int, share: int, cells: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    steps = np.diff(cells, prepend=0).astype(np.int32)
+    columns = [pa.array([r], pa.int32()), pa.array([share], pa.int32()), pa.array([_pack(steps)], pa.binary()), pa.array([_pack(n)], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["range", "share", "cells", "n"])
+
+
+def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            r, share, cells, n = (batch.column(x)[k].as_py() for x in range(4))
+            yield r, share, np.cumsum(_unpack(cells, np.int32)), _unpack(n, np.int64)
+
+
+def neighbours(stored: DataFrame, core: Core) -> DataFrame:
+    """(range, share, cells, n): how often each two core words, ends or other words meet in training text, a row for each range of words.
+
+    A core word's code is its place; the end and any other word have the next two. A cell is (2 * place in the
+    range + side) * codes + the neighbour's code, where side is 0 for the neighbour before and 1 for that after.
+    """
+    width = len(core.words) + 2
+    end, other, ranges = width - 2, width - 1, -(-width // RANGE)
     shared = stored.sparkSession.sparkContext.broadcast(core)
+    kinds = "range int, share int, cells binary, n binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = shared.value
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each block's pairs, under their first words."""
         share = TaskContext.get().partitionId() // 256
-        total = np.zeros(2 * n * wide, np.int64)
         for b in _read(batches):
-            at = c.codes_of(b.words)
-            word = b.sequence(at, n, True)
-            kind = b.sequence(np.append(c.classes, CLASSES + 1).astype(np.uint8)[at], CLASSES, True)
-            for side, (w, k) in enumerate(((word[1:], kind[:-1]), (word[:-1], kind[1:]))):
-                inside = w < n
-                total += np.bincount((w[inside] * np.int32(2) + np.int32(side)) * np.int32(wide) + k[inside], minlength=len(total))
-        size = 2 * wide * RANGE
-        for r in range(0, len(total), size):
-            if total[r : r + size].any():
-                row = [pa.array([r // size], pa.int32()), pa.array([share], pa.int32()), pa.array([_pack(total[r : r + size])], pa.binary())]
-                yield pa.RecordBatch.from_arrays(row, ["range", "share", "sums"])
-
-    return stored.mapInArrow(run, "range int, share int, sums binary")
+            at = shared.value.codes_of(b.words)
+            code = b.sequence(np.where(at == end, other, at), end, True).astype(np.int64)
+            pairs, n = np.unique(code[:-1] * width + code[1:], return_counts=True)
+            edges = np.searchsorted(pairs, np.arange(ranges + 1) * (RANGE * width))
+            for r in np.flatnonzero(np.diff(edges)).tolist():
+                part = pairs[edges[r] : edges[r + 1]] - r * RANGE * width
+                yield _pair_row(r, share, part + (part // width + 1) * width, n[edges[r] : edges[r + 1]])
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows under first words, and their pairs again under the second words."""
+        for r, _, cells, n in _pair_rows(batches):
+            yield _pair_row(r, 0, cells, n)
+            line, second = np.divmod(cells, width)
+            pairs = second * width + r * RANGE + line // 2
+            order = np.argsort(pairs)
+            pairs, n = pairs[order], n[order]
+            edges = np.searchsorted(pairs, np.arange(ranges + 1) * (RANGE * width))
+            for to in np.flatnonzero(np.diff(edges)).tolist():
+                part = pairs[edges[to] : edges[to + 1]] - to * RANGE * width
+                yield _pair_row(to, 0, part + part // width * width, n[edges[to] : edges[to + 1]])
+
+    def add(batches: Iterator[pa.RecordBatch], by_share: bool = True) -> Iterator[pa.RecordBatch]:
+        """One row for all of a range (and share) that follow each other; one table of a range is held at a time."""
+        key, total = None, np.zeros(2 * RANGE * width, np.int64)
+
+        def summed() -> pa.RecordBatch:
+            at = np.flatnonzero(total)
+            row = _pair_row(*key, at, total[at])
+            total[at] = 0
+            return row
+
+        for r, share, cells, n in _pair_rows(batches):
+            share = share if by_share else 0
+            if key and key != (r, share):
+                yield summed()
+            key = (r, share)
+            total[cells] += n
+        if key:
+            yield summed()
+
+    # Blocks' rows are added in shares of at most 256 tasks, then the shares.
+    shares = stored.mapInArrow(send, kinds).repartition("range", "share").sortWithinPartitions("range", "share").mapInArrow(add, kinds)
+    # One function for adding and turning: two in a row would take two Python workers for each core.
+    both = shares.repartition("range").sortWithinPartitions("range").mapInArrow(lambda batches: turn(add(batches, False)), kinds)
+    return both.repartition(min(16, ranges), "range").sortWithinPartitions("range").mapInArrow(add, kinds)
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], classes: np.ndarray, size: int, wide: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each range of so many words and its counts by place in it, side and the neighbour's class, the last two of which are for ends and other words."""
+    kind = np.append(classes, [wide - 2, wide - 1])
+    for r, _, cells, n in _pair_rows(batches):
+        line, near = np.divmod(cells, len(kind))
+        # Sums of whole numbers below 2 ** 53 are exact as doubles.
+        yield r, np.bincount(line * wide + kind[near], weights=n, minlength=2 * size * wide).astype(np.int64).reshape(-1, 2, wide)
 
 
 def best_moves(left: np.ndarray, right: np.ndarray, own: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -249,75 +309,70 @@ def likelihood(pairs: np.ndarray) -> float:
     return f(pairs.astype(np.float64)) - f(pairs.sum(axis=0).astype(np.float64)) - f(pairs.sum(axis=1).astype(np.float64))
 
 
-def exchange(stored: DataFrame, core: Core, converged: float = CONVERGED, gains: list[float] | None = None) -> Core:
-    """Core after exchange to convergence; each round's likelihood is added to gains."""
+def exchange(stored: DataFrame, core: Core, converged: float = CONVERGED, gains: list[float] | None = None, met: DataFrame | None = None) -> Core:
+    """Core after exchange to convergence; each round's likelihood is added to gains. met: neighbours() of this core, if they are stored."""
     spark = stored.sparkSession
     wide = CLASSES + 2
     if not len(core.words):
         return core
-    kept, parts, turn, since = core, min(2, len(core.words)), 0, 0
-    seen: list[float] = [] if gains is None else gains
+    pairs_met = store(neighbours(stored, core), "neighbours", large_rows=True) if met is None else met
+    try:
+        return _exchanged(spark, pairs_met, core, converged, [] if gains is None else gains, wide)
+    finally:
+        if met is None:
+            discard(pairs_met)
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(_unpack(x.as_py(), np.int64) for x in table["sums"])
-        return pa.table({"range": table["range"][:1], "share": table["share"][:1], "sums": pa.array([_pack(total)], pa.binary())})
 
+def _exchanged(spark: SparkSession, met: DataFrame, core: Core, converged: float, seen: list[float], wide: int) -> Core:
+    kept, parts, turn, since = core, min(2, len(core.words)), 0, 0
     for _ in range(MOST_ROUNDS):
-        # Tasks' sums are added in shares of at most 256 tasks, then the shares.
-        kinds = "range int, share int, sums binary"
-        shares = _contexts(stored, core).groupBy("range", "share").applyInArrow(add, kinds)
-        ranges = store(shares.groupBy("range").applyInArrow(add, kinds).select("range", "sums"), "contexts")
-        shared = spark.sparkContext.broadcast(core)
+        shared = spark.sparkContext.broadcast(core.classes)
 
         def partial(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            """Class bigrams (class of a core word, class after it) and (class before, ...) of a range."""
-            classes = shared.value.classes
-            for batch in batches:
-                for r, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    t = _unpack(sums, np.int64).reshape(-1, 2, wide)
-                    own = classes[r * RANGE : r * RANGE + len(t)]
-                    pairs = np.zeros((2, wide, wide), np.int64)
-                    np.add.at(pairs[0].T, own, t[: len(own), 0])
-                    np.add.at(pairs[1], own, t[: len(own), 1])
-                    yield pa.RecordBatch.from_arrays([pa.array([_pack(pairs)], pa.binary())], ["pairs"])
-
-        both = sum((_unpack(r["pairs"], np.int64).reshape(2, wide, wide) for r in ranges.mapInArrow(partial, "pairs binary").collect()), np.zeros((2, wide, wide), np.int64))
+            """Class bigrams (class of a core word, class after it) and (class before, ...) of a task's ranges."""
+            classes = shared.value
+            pairs = np.zeros((2, wide, wide), np.int64)
+            for r, t in _contexts(batches, classes, RANGE, wide):
+                own = classes[r * RANGE : (r + 1) * RANGE]
+                np.add.at(pairs[0].T, own, t[: len(own), 0])
+                np.add.at(pairs[1], own, t[: len(own), 1])
+            yield pa.RecordBatch.from_arrays([pa.array([_pack(pairs)], pa.binary())], ["pairs"])
+
+        both = sum((_unpack(r["pairs"], np.int64).reshape(2, wide, wide) for r in met.mapInArrow(partial, "pairs binary").collect()), np.zeros((2, wide, wide), np.int64))
         # Bigrams between core words are in both; those with an end or another word in one.
         pairs = both[1].copy()
         pairs[CLASSES:, :] = both[0][CLASSES:, :]
         now = likelihood(pairs)
         if seen and now < seen[-1] - 1e-12 * abs(now) and parts < len(core.words):
-            discard(ranges)
             core, parts, since = kept, min(2 * parts, len(core.words)), 0
             turn += 1
             seen.pop()
+            shared.unpersist()
             continue
         seen.append(now)
         since += 1
         slow = len(seen) > 2 and now - seen[-3] < converged * (now - seen[0])
         if slow or (since > parts and now <= seen[-1 - parts]):
-            discard(ranges)
+            shared.unpersist()
             return core
         kept = core
         whole = spark.sparkContext.broadcast(pairs)
 
         def decide(batches: Iterator[pa.RecordBatch], shared=shared, whole=whole, turn=turn, parts=parts) -> Iterator[pa.RecordBatch]:
-            classes = shared.value.classes
-            for batch in batches:
-                for r, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    first = r * RANGE
-                    own = classes[first : first + RANGE]
-                    t = _unpack(sums, np.int64).reshape(-1, 2, wide)[: len(own)]
-                    moving = (np.arange(first, first + len(own)) + turn) % parts == 0
-                    to = own.copy()
-                    to[moving] = best_moves(t[moving, 0], t[moving, 1], own[moving], whole.value)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(own))), pa.array(to.astype(np.int64))], ["word", "class"])
+            classes = shared.value
+            for r, t in _contexts(batches, classes, RANGE, wide):
+                first = r * RANGE
+                own = classes[first : first + RANGE]
+                t = t[: len(own)]
+                moving = (np.arange(first, first + len(own)) + turn) % parts == 0
+                to = own.copy()
+                to[moving] = best_moves(t[moving, 0], t[moving, 1], own[moving], whole.value)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(own))), pa.array(to.astype(np.int64))], ["word", "class"])
 
         classes = core.classes.copy()
         # One small row for each of at most CORE words.
-        for r in ranges.repartition(min(16, -(-len(classes) // RANGE)), "range").mapInArrow(decide, "word long, class long").collect():
+        for r in met.mapInArrow(decide, "word long, class long").collect():
             classes[r["word"]] = r["class"]
-        discard(ranges)
         core = Core(core.words, core.counts, classes)
         turn += 1
         for x in (shared, whole):
@@ -369,20 +424,22 @@ def _sparse_sum(pairs: DataFrame) -> np.ndarray:
     return out.reshape(wide, wide)
 
 
-def _affinity(stored: DataFrame, core: Core) -> tuple[np.ndarray, np.ndarray]:
+def _affinity(stored: DataFrame, core: Core, met: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
     """By class before (or after) and own class: log of how much likelier than by chance they meet."""
     wide = CLASSES + 2
-    shared = stored.sparkSession.sparkContext.broadcast(core)
+    shared = stored.sparkSession.sparkContext.broadcast(core.classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(wide * wide, np.int64)
-        for b in _read(batches):
-            kind = b.sequence(shared.value.class_of(b.words), CLASSES, True).astype(np.int32)
-            total += np.bincount(kind[:-1] * np.int32(wide) + kind[1:], minlength=len(total))
+        total = np.zeros((wide, wide), np.int64)
+        kind = np.append(shared.value, [CLASSES, CLASSES + 1])
+        for r, t in _contexts(batches, shared.value, RANGE, wide):
+            own = kind[r * RANGE : (r + 1) * RANGE]
+            np.add.at(total, own, t[: len(own), 1])
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["pair", "n"])
 
-    n = _sparse_sum(stored.mapInArrow(run, "pair long, n long")) + 0.5
+    met = neighbours(stored, core) if met is None else met
+    n = _sparse_sum(met.mapInArrow(run, "pair long, n long")) + 0.5
     chance = n.sum(axis=1)[:, None] * n.sum(axis=0)[None, :] / n.sum()
     meet = np.log(n / chance)
     meet[CLASSES + 1, :] = 0
@@ -390,12 +447,12 @@ def _affinity(stored: DataFrame, core: Core) -> tuple[np.ndarray, np.ndarray]:
     return meet[:, :CLASSES], meet.T[:, :CLASSES]
 
 
-def lookups(stored: DataFrame, core: Core) -> DataFrame:
+def lookups(stored: DataFrame, core: Core, met: DataFrame | None = None) -> DataFrame:
     """(block, at, class, n, first): what each block's words are in the whole training text.
 
     The class of a word outside the core is the one that all its contexts together favour; first marks one row of each such word.
     """
-    before, after = _affinity(stored, core)
+    before, after = _affinity(stored, core, met)
     shared = stored.sparkSession.sparkContext.broadcast(core)
     wide = CLASSES + 2
 
@@ -608,9 +665,17 @@ def _scored(coded: DataFrame, totals: Totals, steps: np.ndarray) -> DataFrame:
 
 def score(docs: DataFrame, core_words: int = CORE, converged: float = CONVERGED) -> DataFrame:
     """Both scores of every row of docs(doc_id, text), learned from the rows that are not held out."""
-    stored = store(blocks(docs), "blocks")
-    core = exchange(stored, _first_core(stored, core_words), converged)
-    looked = store(lookups(stored, core), "lookups")
+    with small_batches(docs.sparkSession):
+        return _learned(docs, core_words, converged)
+
+
+def _learned(docs: DataFrame, core_words: int, converged: float) -> DataFrame:
+    stored = store(blocks(docs), "blocks", large_rows=True)
+    core = _first_core(stored, core_words)
+    met = store(neighbours(stored, core), "neighbours", large_rows=True)
+    core = exchange(stored, core, converged, met=met)
+    looked = store(lookups(stored, core, met), "lookups")
+    discard(met)
     trained = F.filter(F.arrays_zip("held", "lengths"), lambda x: ~x["held"])
     ends = stored.agg(F.sum(F.size(trained))).first()[0] or 0
     words = looked.filter(F.col("first") & (F.col("n") > 0)).groupBy("class")
@@ -622,10 +687,13 @@ def score(docs: DataFrame, core_words: int = CORE, converged: float = CONVERGED)
     types = len(core.words) + sum(r["v"] for r in rest) + (ends > 0)
     once = int((core.counts == 1).sum()) + sum(r["once"] for r in rest) + (ends == 1)
     totals = Totals(int(core.counts.sum()) + sum(r["n"] for r in rest) + ends, types, ends, once, of_class)
-    coded = store(_coded(stored, looked, totals), "coded")
+    coded = store(_coded(stored, looked, totals), "coded", large_rows=True)
     discard(stored)
     discard(looked)
-    return _scored(coded, totals, log_transitions(_transitions(coded)))
+    # Stored here, while batches are small; whoever reads the result reads small rows.
+    scores = store(_scored(coded, totals, log_transitions(_transitions(coded))), "scores")
+    discard(coded)
+    return scores
 
 
 def op1(docs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,11 +41,15 @@ def recorded(made: list[DataFrame]) -> Iterator[None]:
         _recording.reset(before)
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+#: Rows of megabytes: Parquet's writer would hold a hundred of them before it looks at their size, and its reader all of a group.
+ONE_ROW_GROUPS = {"parquet.block.row.count.limit": "1"}
+
+
+def store(df: DataFrame, name: str, large_rows: bool = False) -> DataFrame:
     """Writes df to the shared folder and rereads it, which cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scoreloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**ONE_ROW_GROUPS if large_rows else {}).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     made = _recording.get()
@@ -53,6 +58,30 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: By session: how many are in small_batches(), and what was set before the first.
+_inside: dict[SparkSession, tuple[int, str]] = {}
+_entering = Lock()
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """Meanwhile Spark hands rows to Python workers in batches that end at this size, so large rows go one or a few at a time."""
+    with _entering:
+        n, before = _inside.get(spark, (0, spark.conf.get(_BATCH)))
+        _inside[spark] = (n + 1, before)
+        spark.conf.set(_BATCH, size)
+    try:
+        yield
+    finally:
+        with _entering:
+            n, before = _inside.pop(spark)
+            if n > 1:
+                _inside[spark] = (n - 1, before)
+            else:
+                spark.conf.set(_BATCH, before)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table made by store() that no later plan reads."""
     spark = df.sparkSession

@@ -173,3 +173,59 @@ def test_scores_match_the_model_written_out(spark, small, monkeypatch):
             want += math.log10(p(w, last))
             last = end if w is None else of.get(w, end + 1)
         assert got[k]["score"] == pytest.approx(want)
+
+
+def test_large_rows_go_one_at_a_time(spark):
+    """However many rows of megabytes a file or task has, a writer, a reader and a Python worker hold one."""
+    import glob
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from scoreloom.llm import common
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    wide = common.store(spark.range(12).repartition(1).selectExpr("id", "repeat('x', 5000000) as text"), "t", large_rows=True)
+    (file,) = glob.glob(wide._stored_at.removeprefix("file:") + "/*.parquet")
+    assert pq.ParquetFile(file).metadata.num_row_groups == 12
+
+    def rows(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    with common.small_batches(spark), common.small_batches(spark):
+        assert [r["n"] for r in wide.mapInArrow(rows, "n long").collect()] == [1] * 12
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    common.discard(wide)
+
+
+def test_rounds_read_pairs_counted_once_and_no_block(spark, small, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 60)
+    monkeypatch.setattr(lm, "BLOCK_CHARS", 200)
+    monkeypatch.setattr(lm, "RANGE", 3)
+    rows, train = small
+    stored = lm.store(lm.blocks(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), "t", large_rows=True)
+    assert stored.count() > 3
+    first = lm._first_core(stored, 10)
+    met = lm.store(lm.neighbours(stored, first), "t", large_rows=True)
+    width = 12
+    code = {w: k for k, w in enumerate(first.words.to_pylist())}
+    want = {}
+    for t in train:
+        codes = [10, *[code.get(w, 11) for w in t], 10]
+        for a, b in zip(codes, codes[1:]):
+            for cell in ((a, 1, b), (b, 0, a)):
+                want[cell] = want.get(cell, 0) + 1
+    got, ranges = {}, []
+    for r, _, cells, n in lm._pair_rows(met.toArrow().to_batches()):
+        ranges.append(r)
+        for c, x in zip(cells.tolist(), n.tolist()):
+            got[3 * r + c // width // 2, c // width % 2, c % width] = x
+    assert sorted(ranges) == [0, 1, 2, 3]
+    assert got == want
+    core = lm.exchange(stored, first, met=met)
+    near = lm._affinity(stored, core)
+    lm.discard(stored)
+    again = lm.exchange(stored, first, met=met)
+    assert again.classes.tolist() == core.classes.tolist()
+    assert all(np.array_equal(a, b) for a, b in zip(near, lm._affinity(stored, core, met)))
